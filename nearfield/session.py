@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -49,3 +51,17 @@ def cut(df: DataFrame) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers of all executors, once a session; they need no copy of their own."""
+    sc = spark.sparkContext
+    if getattr(sc, "_nearfield_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    at = f"{sc._temp_dir}/nearfield_package.zip"  # the driver serves it from here for as long as the session lasts
+    with zipfile.ZipFile(at, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, f"{root.name}/{p.relative_to(root)}")
+    sc.addPyFile(at)
+    sc._nearfield_shipped = True
