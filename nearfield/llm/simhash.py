@@ -305,8 +305,16 @@ def keep_one(documents: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
     # ids before nulls, then the text's hash: the first of each component
     first = linked_rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("k"))
     keepers = first.select(F.col("k.doc_id").alias("_id"), F.col("k.text_hash").alias("_hash"))
-    hashed = documents.withColumn("_text_hash", F.xxhash64("text"))
-    same = hashed["doc_id"].eqNullSafe(keepers["_id"]) & (hashed["_text_hash"] == keepers["_hash"])
+    own, place = unused("_text_hash", documents), unused("_place", documents)
+    hashed = documents.withColumn(own, F.xxhash64("text"))
+    same = hashed["doc_id"].eqNullSafe(keepers["_id"]) & (hashed[own] == keepers["_hash"])
     kept = hashed.join(keepers, same, "left_semi")
-    once = Window.partitionBy("doc_id", "_text_hash").orderBy(F.lit(1))
-    return kept.withColumn("_k", F.row_number().over(once)).filter("_k = 1").select(*documents.columns)
+    once = Window.partitionBy("doc_id", own).orderBy(F.lit(1))
+    return kept.withColumn(place, F.row_number().over(once)).filter(F.col(place) == 1).select(*documents.columns)
+
+
+def unused(name: str, df: DataFrame) -> str:
+    """``name``, made longer until ``df`` has no such column."""
+    while name in df.columns:
+        name += "_"
+    return name

@@ -96,25 +96,35 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(union == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / union)
 
 
-def _ranges(documents: DataFrame, range_rows: int) -> tuple[Column, int]:
-    """A column that numbers ranges of doc_id from the lowest up, null ids 0, and how many ranges there are.
+def _ranges(documents: DataFrame, range_rows: int) -> Column:
+    """A column that numbers ranges of doc_id from the lowest up; null ids are -1.
 
-    The driver gets CELLS counts, whatever the input.
+    The span of ids is cut into CELLS cells of equal width; cells with few rows share a range and one with many is cut
+    into as many equal parts as its rows call for. The driver gets CELLS counts, whatever the input.
     """
     low, high = documents.agg(F.min("doc_id"), F.max("doc_id")).first()
     if low is None:
-        return F.lit(0), 1
+        return F.lit(-1).cast("long")
     width = (high - low) // CELLS + 1
-    cell = F.floor((F.col("doc_id").cast("decimal(20,0)") - F.lit(low).cast("decimal(20,0)")) / F.lit(width).cast("decimal(20,0)")).cast("int")
+    wide = lambda c: c.cast("decimal(20,0)")
+    offset = wide(F.col("doc_id")) - wide(F.lit(low))
+    cell = F.floor(offset / wide(F.lit(width))).cast("int")
     counts = dict(documents.filter("doc_id IS NOT NULL").groupBy(cell.alias("cell")).count().collect())
-    of, now, held = [], 1, 0
+    first, parts, now, held = [], [], 0, 0
     for c in range(CELLS):
-        if held and held + counts.get(c, 0) > range_rows:
+        n = counts.get(c, 0)
+        if held and held + n > range_rows:
             now, held = now + 1, 0
-        of.append(now)
-        held += counts.get(c, 0)
-    table = F.array(*[F.lit(x) for x in of])
-    return F.coalesce(F.get(table, cell), F.lit(0)), now + 1
+        k = max(1, min(width, -(-n // range_rows)))
+        first.append(now)
+        parts.append(k)
+        held += n
+        if k > 1:
+            now, held = now + k, 0
+    at = lambda xs: F.get(F.split(F.lit(",".join(map(str, xs))), ",").cast("array<bigint>"), cell)  # noqa: E731  a constant
+    within = offset - wide(cell) * wide(F.lit(width))
+    part = F.floor(within.cast("double") * at(parts) / float(width)).cast("long")
+    return F.coalesce(at(first) + F.least(part, at(parts) - 1), F.lit(-1).cast("long"))
 
 
 def with_next(documents: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
@@ -123,8 +133,7 @@ def with_next(documents: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
     Null texts are empty.
     """
     docs = documents.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    number, n = _ranges(docs, range_rows)
-    docs = docs.withColumn("_range", number)
+    docs = docs.withColumn("_range", _ranges(docs, range_rows))
     order = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "text")
     # the first row of each range, one a range: what follows the last row of the nearest range above that has rows
     firsts = docs.groupBy("_range").agg(F.max(order).alias("first"))
