@@ -110,7 +110,7 @@ class LexiconAutomaton:
                     out.add((child, e))
                 elif e == 0 and self.may_edit[child]:
                     out.add((child, 1))
-            if e == 0 and node and self.may_edit[node]:
+            if e == 0 and self.may_edit[node]:
                 out.add((node, 1))  # a character too many
         return self._state(out)
 
