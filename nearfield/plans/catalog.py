@@ -136,7 +136,7 @@ def knn_relational_l2(spark, sf_dir):
     return shown(knn.knn_plan(b, asked(b), K))
 
 
-@query(knn_sql(COSINE))
+@query(knn_sql(COSINE, what="qid, rank, id AS vec_id, CASE WHEN round(dist, 6) = 0 THEN CAST(0 AS DOUBLE) ELSE round(dist, 6) END AS dist"))
 def knn_exact_cosine(spark, sf_dir):
     b = base(spark, sf_dir)
     return shown(knn.exact_knn(b, asked(b), K, "cosine"))
