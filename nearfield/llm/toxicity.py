@@ -186,6 +186,22 @@ class ToxicityModel:
         return float(1 / (1 + np.exp(-np.clip(x @ self.weights, -30, 30))))
 
 
+def without_copies(texts: list[str], run: int = 3, share: float = 0.3) -> list[str]:
+    """The texts of a sample less those of which over ``share`` of the runs of words occur in one before.
+
+    A word of one text that was copied often would else look like a word of many texts.
+    """
+    seen: set[int] = set()
+    out = []
+    for t in texts:
+        words = WORD.findall(t.lower())
+        runs = {hash(tuple(words[i : i + run])) for i in range(max(1, len(words) - run + 1))}
+        if len(runs & seen) <= share * len(runs):
+            out.append(t)
+            seen |= runs
+    return out
+
+
 def candidates(text: str) -> set[str]:
     """Words, marked by a blank at their end, and their stems."""
     out = set()
@@ -228,7 +244,7 @@ def learn_lexicon(toxic: list[str], clean: list[str]) -> list[str]:
 
 def fit(rows: list[tuple[str, int]], share: float, seed: int = 3) -> ToxicityModel:
     """A model from labelled texts; ``share`` is the share of toxic texts where the model will be used."""
-    toxic, clean = [t for t, y in rows if y == 1], [t for t, y in rows if y == 0]
+    toxic, clean = without_copies([t for t, y in rows if y == 1]), without_copies([t for t, y in rows if y == 0])
     terms = learn_lexicon(toxic, clean) if toxic and clean else []
     if not terms:
         return ToxicityModel(None, constant=share)
