@@ -29,7 +29,7 @@ from ..session import ship
 
 BLANK = "▁"
 #: Units in one generation of the table, and the longest unit that is kept.
-KEPT_UNITS = 150_000
+KEPT_UNITS = 250_000
 KEPT_CHARS = 48
 
 
@@ -59,52 +59,79 @@ class MergeEncoder:
         else:
             cls = "".join(map(re.escape, inner))
             self.unit = re.compile(f"(?s){BLANK}+[{cls}]*|[{cls}]+|.") if inner else re.compile("(?s).")
+        self._pairs(inner)
         self.newline_alone = "\n" not in inner
         self.young: dict[str, tuple[int, ...]] = {}
         self.old: dict[str, tuple[int, ...]] = {}
         self.fresh: list[tuple[str, tuple[int, ...]]] = []
 
+    def _pairs(self, inner: list[str]) -> None:
+        """Tables of the merges: a code for each symbol, and for each pair of codes the rank of the score and the piece.
+
+        A piece's code is its id. Characters that pieces have but that are no pieces get codes beyond; all others share one.
+        """
+        lone = [c for c in [*inner, BLANK] if c not in self.ids]
+        size = self.library.get_piece_size()
+        self.code = {**self.ids, **{c: size + 1 + k for k, c in enumerate(lone)}}
+        self.other = size
+        rank = {s: k for k, s in enumerate(sorted(set(self.score.values()), reverse=True))}
+        self.pairs: dict[int, int] = {}
+        for piece, i in self.ids.items():
+            for cut in range(1, len(piece)):
+                a, b = self.code.get(piece[:cut]), self.code.get(piece[cut:])
+                if a is not None and b is not None:
+                    self.pairs[a << 20 | b] = rank[self.score[piece]] << 36 | i
+
     def merge(self, unit: str) -> tuple[int, ...]:
-        """Ids of a unit by the agenda of adjacent pairs."""
-        whole = self.ids.get(unit)
-        if len(unit) == 1:
-            return self._out(unit) if whole is None else (whole,)
-        score = self.score
-        n = len(unit)
-        symbol: list[str | None] = list(unit)
-        left, right = list(range(-1, n - 1)), [*range(1, n), -1]
+        """Ids of a unit by the agenda of adjacent pairs.
+
+        An entry of the agenda is one number, in order: rank of the score, place of the left symbol, piece. It is stale
+        if its left symbol and what is right of it now don't make that piece.
+        """
+        code, pairs, other, n = self.code, self.pairs, self.other, len(unit)
+        places = 0xFFFF
+        if n > places:  # a place needs more bits
+            pairs, places = {k: v >> 36 << 60 | v & 0xFFFFF for k, v in pairs.items()}, 0xFFFFFFFFFF
+        symbol = [code.get(c, other) for c in unit]
+        right = list(range(1, n + 1))
+        left = list(range(-1, n - 1))
         agenda = []
         for i in range(n - 1):
-            s = score.get(unit[i : i + 2])
-            if s is not None:
-                agenda.append((-s, i, i + 1, 2))
+            v = pairs.get(symbol[i] << 20 | symbol[i + 1])
+            if v is not None:
+                agenda.append(v + (i << 20))
         heapq.heapify(agenda)
+        push, pop = heapq.heappush, heapq.heappop
         while agenda:
-            _, i, j, size = heapq.heappop(agenda)
-            a, b = symbol[i], symbol[j]
-            if a is None or b is None or right[i] != j or len(a) + len(b) != size:
+            e = pop(agenda)
+            i = e >> 20 & places
+            a, j = symbol[i], right[i]
+            if a < 0 or j >= n:
+                continue
+            v = pairs.get(a << 20 | symbol[j])
+            if v is None or v + (i << 20) != e:
                 continue
-            symbol[i] = a = a + b
-            symbol[j] = None
-            k = right[i] = right[j]
-            if k >= 0:
+            symbol[i] = m = v & 0xFFFFF
+            symbol[j] = -1
+            right[i] = k = right[j]
+            if k < n:
                 left[k] = i
-                s = score.get(a + symbol[k])
-                if s is not None:
-                    heapq.heappush(agenda, (-s, i, k, len(a) + len(symbol[k])))
+                v = pairs.get(m << 20 | symbol[k])
+                if v is not None:
+                    push(agenda, v + (i << 20))
             h = left[i]
             if h >= 0:
-                s = score.get(symbol[h] + a)
-                if s is not None:
-                    heapq.heappush(agenda, (-s, h, i, len(a) + len(symbol[h])))
+                v = pairs.get(symbol[h] << 20 | m)
+                if v is not None:
+                    push(agenda, v + (h << 20))
+        if max(symbol) < other:
+            return tuple([s for s in symbol if s >= 0])
         out: list[int] = []
-        for s in symbol:
-            if s is not None:
-                k = self.ids.get(s)
-                if k is None:
-                    out.extend(self._out(s))
-                else:
-                    out.append(k)
+        for c, s in zip(unit, symbol, strict=True):
+            if s >= other:
+                out.extend(self._out(c))
+            elif s >= 0:
+                out.append(s)
         return tuple(out)
 
     def _out(self, symbol: str) -> tuple[int, ...]:
