@@ -1,7 +1,8 @@
 """Secret scanning with base patterns and a character convolutional network, in numpy.
 
-Three base patterns give spans that always stand. Further candidates are tokens that look like keys; a network reads
-each candidate with its surrounding characters and gives a probability. It is trained on findings labelled here: the
+Three base patterns give spans that always stand. Further candidates are tokens of any length that look like keys; a
+network reads each candidate with its surrounding characters, a long one in overlapping windows, and the highest
+probability of its windows is the candidate's. It is trained on findings labelled here: the
 base findings of a bounded sample of texts and generated keys of common formats are positive; tokens of the sample that
 no base pattern covers, and generated identifiers of harmless kinds, are negative. A part of the findings is held back:
 on it the probability is calibrated by a logistic map, and the threshold is the highest that keeps MIN_RECALL.
@@ -18,6 +19,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +34,10 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # a run that is long enough is matched whole, a shorter one is dropped either way
 #: Tokens that the network judges.
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=.-])(?=[A-Za-z+/_=.-]*[0-9])(?=[0-9+/_=.-]*[A-Za-z])[A-Za-z0-9+/_=.-]{16,512}(?![A-Za-z0-9+/_=.-])")
+CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=.-])(?=[A-Za-z+/_=.-]*[0-9])(?=[0-9+/_=.-]*[A-Za-z])[A-Za-z0-9+/_=.-]{16,}(?![A-Za-z0-9+/_=.-])")
 BEFORE, INSIDE = 24, 40
+#: Characters from one window of a long candidate to the next.
+STRIDE = INSIDE // 2
 LENGTH = BEFORE + INSIDE + 8
 TAPS, WIDTH, FILTERS = 5, 10, 24
 #: Texts in the sample that training looks at, and generated findings of each kind.
@@ -57,17 +61,20 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
     return [m.span() for m in CANDIDATE.finditer(text) if not any(s < m.end() and m.start() < e for s, _, e in base)]
 
 
-def window(text: str, start: int, end: int) -> np.ndarray:
-    """Character codes around a candidate: what is before it, its beginning and end, what is after it."""
-    core = text[start:end]
-    if len(core) > INSIDE:
-        core = core[: INSIDE // 2] + core[-(INSIDE // 2) :]
-    line = text[max(0, start - BEFORE) : start].rjust(BEFORE, "\0") + core.ljust(INSIDE, "\0") + text[end : end + 8].ljust(8, "\0")
+def pieces(start: int, end: int) -> Iterator[tuple[int, int]]:
+    """Overlapping windows that cover a candidate; one where it is short."""
+    yield from ((at, at + INSIDE) for at in range(start, end - INSIDE, STRIDE))
+    yield max(start, end - INSIDE), end
+
+
+def window(text: str, start: int, end: int, at: int, to: int) -> np.ndarray:
+    """Character codes around a candidate: what is before it, its piece from ``at`` to ``to``, what is after it."""
+    line = text[max(0, start - BEFORE) : start].rjust(BEFORE, "\0") + text[at:to].ljust(INSIDE, "\0") + text[end : end + 8].ljust(8, "\0")
     return np.frombuffer(line.encode("latin-1", "replace"), np.uint8).astype(np.int64) & 127
 
 
 def extra(text: str, start: int, end: int) -> list[float]:
-    """Length, entropy and mix of the candidate."""
+    """Length, entropy and mix of a piece of a candidate."""
     core = text[start:end]
     n = len(core)
     counts = np.bincount(np.frombuffer(core.encode("ascii", "replace"), np.uint8))
@@ -100,8 +107,11 @@ class CharNetwork:
         return 1 / (1 + np.exp(-np.clip(self.slope * logit + self.shift, -40, 40)))
 
 
-def generated(rng: np.random.Generator) -> list[tuple[str, int]]:
-    """Labelled findings (text with one candidate between marks, label) of common key formats and of harmless identifiers."""
+def generated(rng: np.random.Generator) -> list[tuple[str, str, str, int]]:
+    """Labelled findings (before the key, key, after it, label) of common key formats and of harmless identifiers.
+
+    Some keys, and some identifiers, stand in the middle of a long path or query string.
+    """
     letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
     draw = lambda abc, n: "".join(abc[i] for i in rng.integers(len(abc), size=n))
     out = []
@@ -120,41 +130,65 @@ def generated(rng: np.random.Generator) -> list[tuple[str, int]]:
             f"{w()}.{draw('0123456789', 2)}.mail{draw('0123456789', 1)}.example.com", f"v{draw('123', 1)}.{draw('0123456789', 2)}.{draw('0123456789', 1)}-{w()}.{draw('0123456789', 1)}", f"{w()}{w()}{w()}{draw('0123456789', 2)}",
         ]
         k = int(rng.integers(7))
-        out.append((leads[int(rng.integers(10))] + "\x01" + good[k] + "\x01" + " and " + w(), 1))
-        out.append((plain[int(rng.integers(10))] + "\x01" + bad[k] + "\x01" + " and " + w(), 0))
+        out.append((leads[int(rng.integers(10))], good[k], " and " + w(), 1))
+        out.append((plain[int(rng.integers(10))], bad[k], " and " + w(), 0))
+        path = lambda: "/".join(w() + (draw("0123456789", 2) if rng.integers(3) == 0 else "") for _ in range(int(rng.integers(2, 12))))
+        mark = ["/", "=", "/id=", "-", "_"][int(rng.integers(5))]
+        out.append((plain[int(rng.integers(10))] + path() + mark, good[k], "/" + path() + " and " + w(), 1))
+        out.append((plain[int(rng.integers(10))], path() + mark + bad[k] + "/" + path(), " and " + w(), 0))
     return out
 
 
-def labelled_findings(texts: list[str], seed: int = 11) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(codes, extra features, label) of all findings to learn from."""
-    codes, more, y = [], [], []
+def labelled_pieces(texts: list[str], seed: int = 11) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(codes, extra features, label, number of the finding) of the windows of all findings to learn from.
 
-    def add(text, start, end, label):
-        codes.append(window(text, start, end))
-        more.append(extra(text, start, end))
-        y.append(label)
+    Of a key within a longer token the window that holds most of it is there, since the others may hold none.
+    """
+    codes, more, y, of = [], [], [], []
 
+    def add(text, start, end, label, low, high):
+        spans = list(pieces(start, end))
+        if (start, end) != (low, high) and label:
+            spans = [max(spans, key=lambda x: min(x[1], high) - max(x[0], low))]
+        for at, to in spans:
+            codes.append(window(text, start, end, at, to))
+            more.append(extra(text, at, to))
+            y.append(label)
+            of.append(n)
+
+    n = 0
     for t in texts:
         base = base_spans(t)
         for start, kind, end in base:
             if kind == 0:
                 value = ASSIGN.match(t, start)
                 start = value.start(2)
-            add(t, start, end, 1)
+            add(t, start, end, 1, start, end)
+            n += 1
         for start, end in candidates(t, base):
-            add(t, start, end, 0)
-    for marked, label in generated(np.random.default_rng(seed)):
-        a, core, b = marked.split("\x01")
-        add(a + core + b, len(a), len(a) + len(core), label)
-    return np.array(codes), np.array(more), np.array(y, float)
+            add(t, start, end, 0, start, end)
+            n += 1
+    for a, core, b, label in generated(np.random.default_rng(seed)):
+        text = a + core + b
+        start, end = next((m.span() for m in CANDIDATE.finditer(text) if m.start() <= len(a) and len(a) + len(core) <= m.end()), (len(a), len(a) + len(core)))
+        add(text, start, end, label, len(a), len(a) + len(core))
+        n += 1
+    return np.array(codes), np.array(more), np.array(y, float), np.array(of)
+
+
+def labelled_findings(texts: list[str], seed: int = 11) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(codes, extra features, label) of the first window there is of each finding to learn from."""
+    codes, more, y, of = labelled_pieces(texts, seed)
+    first = np.flatnonzero(np.diff(of, prepend=-1))
+    return codes[first], more[first], y[first]
 
 
 def fit(texts: list[str], epochs: int = EPOCHS, seed: int = 11) -> CharNetwork:
     """A network with calibrated probability and a threshold that keeps MIN_RECALL on the findings held back."""
-    codes, more, y = labelled_findings(texts, seed)
+    codes, more, y, of = labelled_pieces(texts, seed)
     rng = np.random.default_rng(seed)
-    order = rng.permutation(len(y))
-    back, learn = order[: len(y) // 4], order[len(y) // 4 :]
+    held_back = rng.permutation(of[-1] + 1) < (of[-1] + 1) // 4  # by finding, so that all windows of one are on the same side
+    back, learn = np.flatnonzero(held_back[of]), np.flatnonzero(~held_back[of])
     p = {
         "embed": rng.normal(0, 0.4, (128, WIDTH)), "filters": rng.normal(0, 0.2, (TAPS * WIDTH, FILTERS)), "bias": np.zeros(FILTERS),
         "w1": rng.normal(0, 0.2, (2 * FILTERS + 5, 16)), "b1": np.zeros(16), "w2": rng.normal(0, 0.3, 16), "b2": np.zeros(1)[0],
@@ -187,30 +221,32 @@ def fit(texts: list[str], epochs: int = EPOCHS, seed: int = 11) -> CharNetwork:
                 m = moment[k][0] = 0.9 * m + 0.1 * g[k]
                 s = moment[k][1] = 0.999 * s + 0.001 * g[k] ** 2
                 p[k] = p[k] - 3e-3 * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.999**step)) + 1e-8)
-    logit = net.forward(codes[back], more[back])[-1]
+    first = np.flatnonzero(np.diff(of[back], prepend=-1))  # the highest window of each finding held back
+    logit, truth = np.maximum.reduceat(net.forward(codes[back], more[back])[-1], first), y[back][first]
     a, b = 1.0, 0.0
     for _ in range(200):  # Platt's map, by gradient on the findings held back
         q = 1 / (1 + np.exp(-np.clip(a * logit + b, -40, 40)))
-        a -= 0.1 * float(((q - y[back]) * logit).mean())
-        b -= 0.1 * float((q - y[back]).mean())
+        a -= 0.1 * float(((q - truth) * logit).mean())
+        b -= 0.1 * float((q - truth).mean())
     net.slope, net.shift = max(a, 0.05), b
-    positive = np.sort(net.probability(codes[back], more[back])[y[back] == 1])
+    positive = np.sort(1 / (1 + np.exp(-np.clip(net.slope * logit + net.shift, -40, 40)))[truth == 1])
     if len(positive):
         net.threshold = max(0.5, float(positive[int((1 - MIN_RECALL) * len(positive))]))
     return net
 
 
 def scan(texts: list[str], net: CharNetwork) -> list[list[tuple[int, int, int]]]:
-    """All spans of each text: base spans, and candidates whose probability reaches the threshold."""
+    """All spans of each text: base spans, and candidates of which a window's probability reaches the threshold."""
     base = [base_spans(t) for t in texts]
-    where = [(k, s, e) for k, t in enumerate(texts) for s, e in candidates(t, base[k])]
-    for at in range(0, len(where), 2048):
-        part = where[at : at + 2048]
-        q = net.probability(np.array([window(texts[k], s, e) for k, s, e in part]), np.array([extra(texts[k], s, e) for k, s, e in part]))
-        for (k, s, e), x in zip(part, q, strict=True):
-            if x >= net.threshold:
-                base[k].append((s, 3, e))
-    return [sorted(b) for b in base]
+    out = [list(b) for b in base]
+    todo = ((k, s, e, at, to) for k, t in enumerate(texts) for s, e in candidates(t, base[k]) for at, to in pieces(s, e))
+    found = set()
+    while part := list(islice(todo, 2048)):
+        q = net.probability(np.array([window(texts[k], s, e, at, to) for k, s, e, at, to in part]), np.array([extra(texts[k], at, to) for k, _, _, at, to in part]))
+        found.update((k, s, e) for (k, s, e, _, _), x in zip(part, q, strict=True) if x >= net.threshold)
+    for k, s, e in found:
+        out[k].append((s, 3, e))
+    return [sorted(b) for b in out]
 
 
 def join(spans: list[tuple[int, int, int]]) -> str:
