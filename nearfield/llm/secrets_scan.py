@@ -35,6 +35,8 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # a run that is long enough is matched whole, a shorter one is dropped either way
 #: Tokens that the network judges.
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=.-])(?=[A-Za-z+/_=.-]*[0-9])(?=[0-9+/_=.-]*[A-Za-z])[A-Za-z0-9+/_=.-]{16,}(?![A-Za-z0-9+/_=.-])")
+#: The base patterns in one, for Spark: whether a text has a base finding.
+SIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{6}|AKIA[A-Z0-9]{16}|[0-9a-f]{24}"""
 BEFORE, INSIDE = 24, 40
 #: Characters from one window of a long candidate to the next.
 STRIDE = INSIDE // 2
@@ -231,7 +233,7 @@ def fit(texts: list[str], epochs: int = EPOCHS, seed: int = 11) -> CharNetwork:
     net.slope, net.shift = max(a, 0.05), b
     positive = np.sort(1 / (1 + np.exp(-np.clip(net.slope * logit + net.shift, -40, 40)))[truth == 1])
     if len(positive):
-        net.threshold = max(0.5, float(positive[int((1 - MIN_RECALL) * len(positive))]))
+        net.threshold = float(positive[int((1 - MIN_RECALL) * len(positive))])
     return net
 
 
@@ -254,10 +256,23 @@ def join(spans: list[tuple[int, int, int]]) -> str:
 
 
 def train(documents: DataFrame, sample_texts: int = SAMPLE_TEXTS) -> CharNetwork:
-    """A network from a bounded sample of texts, those with a sign of a base pattern and others alike."""
-    texts = documents.select("text").filter(F.col("text").isNotNull() & (F.octet_length("text") <= MAX_SAMPLE_BYTES))
-    rows = texts.limit(sample_texts).collect()
-    return fit(sorted(r[0] for r in rows))
+    """A network from a bounded sample of texts: half of them with a base finding and half without, as far as there are.
+
+    They are drawn by a hash over all rows, so that the order of the table doesn't matter.
+    """
+    sized = documents.select("doc_id", "text").filter(F.col("text").isNotNull() & (F.octet_length("text") <= MAX_SAMPLE_BYTES))
+    sign = F.col("text").rlike(SIGN)
+    spread = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30))
+    counts = {r[0]: r[1] for r in sized.groupBy(sign).count().collect()}
+    n = {k: counts.get(k, 0) for k in (True, False)}
+    half = sample_texts // 2
+    want = {k: min(n[k], max(half, sample_texts - min(n[not k], half))) for k in n}
+    want[False] = min(want[False], sample_texts - want[True])
+    # a little more than wanted is drawn, of which those of the lowest hashes are taken
+    share = {k: int(min(1.0, (1.1 * want[k] + 50) / max(n[k], 1)) * (1 << 30)) for k in n}
+    drawn = (spread < max(share.values())) & (spread < F.when(sign, F.lit(share[True])).otherwise(F.lit(share[False])))
+    rows = sorted(sized.select(spread.alias("h"), sign.alias("sign"), "text", drawn.alias("drawn")).filter("drawn").select("h", "sign", "text").limit(2 * sample_texts + 400).collect(), key=lambda r: (r[0], r[2]))
+    return fit(sorted(t for k in n for t in [r[2] for r in rows if r[1] == k][: want[k]]))
 
 
 SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"

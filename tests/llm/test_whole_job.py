@@ -30,3 +30,29 @@ def test_windows_cover_a_candidate():
     for n in (16, 40, 41, 60, 61, 1000):
         spans = list(secrets_scan.pieces(5, 5 + n))
         assert set().union(*(range(a, b) for a, b in spans)) == set(range(5, 5 + n)) and all(b - a <= secrets_scan.INSIDE for a, b in spans)
+
+
+def test_threshold_keeps_the_recall_when_it_binds():
+    """A network that learned nothing gives all findings about the share of positives, here far below 0.5."""
+    texts = [f"see some-word-{i}-of-many-words" for i in range(6000)]
+    net = secrets_scan.fit(texts, epochs=0)
+    codes, more, y, of = secrets_scan.labelled_pieces(texts)
+    first = np.flatnonzero(np.diff(of, prepend=-1))
+    q = np.maximum.reduceat(net.probability(codes, more), first)
+    assert np.mean(q[y[first] == 1] >= net.threshold) > secrets_scan.MIN_RECALL - 0.05
+
+
+def test_sample_is_drawn_from_all_rows(spark, monkeypatch):
+    rows = [(i, f"first source {i}") for i in range(600)] + [(i, f"other source {i} token = abcdef{i}") for i in range(600, 900)]
+    seen = []
+    monkeypatch.setattr(secrets_scan, "fit", seen.extend)
+    table = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    secrets_scan.train(table, 100)
+    assert len(seen) == 100 and sum("other" in t for t in seen) == 50
+    assert len({t for t in seen if "first" in t and int(t.split()[2]) >= 300}) > 10
+    seen.clear()
+    secrets_scan.train(table.filter("doc_id < 620"), 100)
+    assert len(seen) == 100 and sum("other" in t for t in seen) == 20
+    seen.clear()
+    secrets_scan.train(table.limit(0), 100)
+    assert seen == []
