@@ -1,7 +1,8 @@
 """Personal data replaced by surrogates.
 
-Emails, telephone numbers, payment cards (by issuer prefix and Luhn digit), IP addresses, IBANs, social security numbers
-and names after a form of address are detected. Each gets a surrogate that a key and its value determine, of the same
+Emails, telephone numbers, payment cards (by issuer prefix and Luhn digit), IP addresses of both versions, IBANs, social
+security numbers and names after forms of address are detected, and all mentions of the parts of such a name in the same
+document. Names get their surrogates part by part, so that "Mr Smith" and "Mr John Smith" share one. Each value gets a surrogate that a key and its value determine, of the same
 type and format: an email keeps its shape and gets a reserved domain, a number keeps its punctuation, a card its issuer
 digit and a valid Luhn digit, an address its kind, a name its script, length, letter case, pattern of vowels and last
 letter, so that grammatical gender shows as before; the form of address stays.
@@ -19,6 +20,7 @@ overlapping finds are resolved leftmost first, then longest. Repeated rows give
 from __future__ import annotations
 
 import hashlib
+import ipaddress
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -54,7 +56,19 @@ NUMBERS = (
 #: Where numbers are: every number pattern holds a match of this, and reaches REACH beyond it at most.
 DIGITS = re.compile(r"[0-9][0-9 ().+-]{2,}[0-9]")
 REACH = 64
+IPV6 = re.compile(rf"(?<![\w:.])(?:[0-9A-Fa-f]{{0,4}}:){{2,7}}(?:{_OCTET}(?:\.{_OCTET}){{3}}|[0-9A-Fa-f]{{0,4}})(?![\w:])")
 FORMS = [*MALE, *FEMALE, *NEUTRAL]
+#: Words of names that stay, and capitalised words that go on after a name but are no part of it; fixed values.
+PARTICLES = frozenset("van von der den de del della di da do dos du la le las los el zu zur zum ter ten af av bin ibn al y e".split())
+NO_NAMES = "Jr II III IV He She It They We You The This That These Those A An In On At But And Or Er Sie Es Wir Der Die Das Und Aber Il Elle Ils Elles Nous Vous Les Et Mais Ella Ellos Los Las Un Una Pero".split()
+_DEGREE = r"(?:[  ]?(?:med|phil|rer|nat|jur|iur|ing|habil|h\. ?c)\.)*"
+_FORM = rf"(?:{'|'.join(FORMS)})"
+#: Forms that aren't a first name as well.
+_NEXT_FORM = rf"(?:{'|'.join(f for f in FORMS if f not in ('Don', 'Sir'))})"
+_PART = rf"(?!(?:{_NEXT_FORM}|{'|'.join(NO_NAMES)})(?!\w))(?:(?:[^\W\d_]\.)+(?![^\W\d_]{{2,}}\.)|{_NAME})"
+NAMED = re.compile(rf"(?<!\w){_FORM}\.?{_DEGREE}(?:[  ](?:(?:and|und|et|y|e|&)[  ])?{_NEXT_FORM}(?!\w)\.?{_DEGREE})*[  ]((?:(?:{'|'.join(sorted(PARTICLES))})[  ])*{_PART}(?:(?:[  ]|(?<=\.))(?:(?:{'|'.join(sorted(PARTICLES))})[  ])*{_PART})*)")
+LETTERS = re.compile(r"[^\W\d_]+")
+MENTION = re.compile(r"(?<![^\W_])[^\W\d_]+(?![^\W_])")
 KIND_ORDER = ("email", "iban", "card", "ssn", "phone", "ip", "name")
 #: Issuer prefixes of payment cards; fixed values.
 ISSUER = re.compile(r"4|5[1-5]|2(?:22[1-9]|2[3-9]|[3-6]|7[01]|720)|3[47]|30[0-5]|3[68]|6011|64[4-9]|65|35(?:2[89]|[3-8])")
@@ -87,6 +101,12 @@ def _valid(kind: str, value: str) -> bool:
         return value[:3] not in ("000", "666") and value[0] != "9" and value[4:6] != "00" and value[-4:] != "0000"
     if kind == "phone":
         return 8 <= sum(c.isdigit() for c in value) <= 15 and value.isascii()
+    if kind == "ip" and ":" in value:
+        try:
+            ipaddress.IPv6Address(value)
+        except ValueError:
+            return False
+        return any(c.isdigit() for c in value) or len(value.replace(":", "")) >= 8
     return value.isascii() if kind == "ip" else True
 
 
@@ -107,15 +127,40 @@ def _numbers(text: str) -> Iterator[tuple[int, str, str]]:
 
 
 def _names(text: str) -> Iterator[tuple[int, str, str]]:
-    """(start, kind, value) of names that follow a form of address."""
-    forms = [f for f in FORMS if f + " " in text or f + "." in text or f + " " in text]
-    if not forms:
+    """(start, kind, value) of names that follow forms of address, with initials and all their words."""
+    if not any(f + " " in text or f + "." in text or f + "\u00a0" in text for f in FORMS):
         return
-    pattern = re.compile(rf"(?<!\w)(?:{'|'.join(forms)})\.?[  ]({_NAME}(?: {_NAME})?)")
-    for m in pattern.finditer(text):
-        first, *second = m.group(1).split(" ")
-        if first[0].isupper():
-            yield m.start(1), "name", m.group(1) if second and second[0][0].isupper() else first
+    for m in NAMED.finditer(text):
+        words = list(re.finditer(r"[^\s.]+\.?", m.group(1)))
+        n = 0
+        for k, w in enumerate(words):
+            if w.group()[0].isupper():
+                n = k + 1
+            elif w.group() not in PARTICLES:
+                break
+        if n:
+            yield m.start(1), "name", m.group(1)[: words[n - 1].end()]
+
+
+def mentions(text: str, found: list[Entity]) -> list[Entity]:
+    """Other places of a text where a part of a name that was found in it stands, in any of the usual letter cases."""
+    parts = {w for e in found if e.kind == "name" for w in LETTERS.findall(e.value) if len(w) > 1 and w[0].isupper() and w.lower() not in PARTICLES}
+    if not parts:
+        return []
+    parts |= {x for w in parts for x in (w.upper(), w.capitalize())}
+    out, k = [], 0
+    for m in MENTION.finditer(text):
+        while k < len(found) and found[k].end <= m.start():
+            k += 1
+        if m.group() in parts and (k == len(found) or m.end() <= found[k].start):
+            out.append(Entity(m.start(), m.end(), "name", m.group()))
+    return out
+
+
+def entities(text: str | None) -> list[Entity]:
+    """All that is replaced in a text, in order: what detect() finds, and the mentions of the names found."""
+    found = detect(text)
+    return sorted(found + mentions(text, found), key=lambda e: e.start) if found else found
 
 
 def detect(text: str | None) -> list[Entity]:
@@ -124,6 +169,8 @@ def detect(text: str | None) -> list[Entity]:
         return []
     found = [(m.start(), "email", m.group().rstrip("._-")) for m in EMAIL.finditer(text)] if "@" in text else []
     found += _numbers(text)
+    if "::" in text or text.count(":") >= 6:
+        found += [(m.start(), "ip", m.group()) for m in IPV6.finditer(text)]
     found += _names(text)
     out: list[Entity] = []
     for start, kind, value in sorted(found, key=lambda x: (x[0], -len(x[2]), KIND_ORDER.index(x[1]))):
@@ -188,6 +235,8 @@ def _reshape(value: str, fixed: set[int], key: bytes, label: str, last: set[int]
     if label == "ip":  # octet by octet, so that every surrogate is an address
         parts = re.split(r"(\.)", value)
         sets = [[p] if p == "." else [str(x) for x in range(*OCTETS[len(p)])] for p in parts]
+    elif label == "ip6":
+        sets = [list(next((h for h in ("0123456789", "abcdef", "ABCDEF") if c in h), c)) for c in value]
     x, n = 0, 1
     for c, s in zip(parts, sets, strict=True):
         x, n = x * len(s) + s.index(c), n * len(s)
@@ -205,6 +254,8 @@ OCTETS = {1: (0, 10), 2: (10, 100), 3: (100, 256)}
 
 def _domain(kind: str, value: str) -> bool:
     """Whether a value may be a surrogate; as a property of the value alone it keeps the walk a permutation."""
+    if kind == "name":
+        return value not in PARTICLES
     return _valid(kind, value) if kind in ("card", "ssn") else True
 
 
@@ -214,9 +265,25 @@ def surrogate(kind: str, value: str, key: bytes = KEY) -> str:
         local, _, host = value.partition("@")
         label = f"{_prf(key, 'host', host.lower()):032x}"[:16]
         return f"{_walk('email', local, key, 'email|' + host)}@{label}.example.com"
+    if kind == "ip" and ":" in value:
+        head, _, tail = value.rpartition(":")
+        return f"{_reshape(head, set(), key, 'ip6')}:{surrogate('ip', tail, key)}" if "." in tail else _reshape(value, set(), key, "ip6")
+    if kind == "name":
+        return LETTERS.sub(lambda m: _name_part(m.group(), key), value)
     return _walk(kind, value, key, kind)
 
 
+def _name_part(part: str, key: bytes) -> str:
+    """The surrogate of one word of a name; the same in every letter case where the script is Latin."""
+    low = part.lower()
+    if low in PARTICLES or part == low and len(part) == 1:
+        return part
+    if len(low) == len(part) and all(b == a or b == a.upper() for a, b in zip(low, part, strict=True)) and all(c.isascii() or unicodedata.name(c, "").startswith("LATIN") for c in low):
+        new = _walk("name", low, key, "name")
+        return "".join(c if a == b else c.upper() for a, b, c in zip(low, part, new, strict=True))
+    return _walk("name", part, key, "name")
+
+
 def _walk(kind: str, value: str, key: bytes, label: str) -> str:
     fixed: set[int] = set()
     last: set[int] = set()
@@ -230,7 +297,7 @@ def _walk(kind: str, value: str, key: bytes, label: str) -> str:
     elif kind == "iban":
         fixed = {0, 1}
     elif kind == "name":
-        last = {m.end() - 1 for m in re.finditer(r"[^\W\d_]+", value)}
+        last = {len(value) - 1} if len(value) > 1 else set()
     now = value
     for _ in range(MAX_WALK):
         now = _reshape(now, fixed, key, label, last)
@@ -240,8 +307,15 @@ def _walk(kind: str, value: str, key: bytes, label: str) -> str:
 
 
 def replace(text: str | None, key: bytes = KEY) -> tuple[str | None, list[tuple[Entity, str]]]:
-    """The text with surrogates, and what was replaced by what."""
-    found = [(e, surrogate(e.kind, e.value, key)) for e in detect(text)]
+    """The text with surrogates, and what was detected in it with its surrogates; mentions are replaced and not listed."""
+    new, found = replace_all(text, key)
+    detected = set(detect(text)) if found else ()
+    return new, [x for x in found if x[0] in detected]
+
+
+def replace_all(text: str | None, key: bytes = KEY) -> tuple[str | None, list[tuple[Entity, str]]]:
+    """The text with surrogates, and all that was replaced by what."""
+    found = [(e, surrogate(e.kind, e.value, key)) for e in entities(text)]
     if not found:
         return text, []
     out, at = [], 0
@@ -261,7 +335,7 @@ def pseudonymize(documents: DataFrame, key: bytes = KEY) -> DataFrame:
         for b in batches:
             texts, n, kinds = [], [], []
             for t in b.column("text"):
-                text, found = replace(t.as_py(), key)
+                text, found = replace_all(t.as_py(), key)
                 texts.append(text)
                 n.append(len(found))
                 kinds.append(",".join(f"{e.kind}:{e.start}:{e.end}" for e, _ in found))
@@ -276,7 +350,7 @@ def surrogates(documents: DataFrame, key: bytes = KEY) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = {(e.kind, hashlib.blake2b(e.value.encode("utf-8", "surrogatepass"), key=key, digest_size=16).hexdigest(), surrogate(e.kind, e.value, key)) for t in b.column("text") for e in detect(t.as_py())}
+            rows = {(e.kind, hashlib.blake2b(e.value.encode("utf-8", "surrogatepass"), key=key, digest_size=16).hexdigest(), surrogate(e.kind, e.value, key)) for t in b.column("text") for e in entities(t.as_py())}
             kind, value, new = zip(*rows, strict=True) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in (kind, value, new)], ["kind", "value_hash", "surrogate"])
 
