@@ -52,7 +52,9 @@ def consolidate(nodes: DataFrame, deleted: DataFrame, degree: int, alpha: float
 def insert(nodes: DataFrame, new: DataFrame, degree: int, pool: int, alpha: float = 1.2) -> DataFrame:
     """(shard, id, vec, nbrs) with the rows of ``new`` (id, vec); rows whose id is there already take its place.
 
-    Each new row is searched for in the old graph, linked to what pruning leaves, and linked back.
+    Each new row is searched for in the old graph, linked to what pruning leaves, and linked back. A list that has over
+    twice ``degree`` neighbours then is pruned with the vectors. What pruning would leave without any link to it stays
+    linked: an old row as it was, and new rows in a tree below their nearest old row, ``degree`` to each.
     """
     old = nodes.join(new.select("id"), "id", "left_anti").select("shard", "id", "vec", "nbrs")
     fresh = new.select("id", F.col("vec").cast("array<float>").alias("vec"))
@@ -63,8 +65,24 @@ def insert(nodes: DataFrame, new: DataFrame, degree: int, pool: int, alpha: floa
     home = full.groupBy("id").agg(F.min("shard").alias("shard"))
     added = fresh.join(home, "id", "left").join(linked, "id", "left").select(F.coalesce("shard", F.lit(0)).cast("long").alias("shard"), "id", "vec", F.coalesce("nbrs", F.expr("cast(array() as array<bigint>)")).alias("nbrs"))
     back = edge_list(linked).select(F.col("dst").alias("id"), F.col("src").alias("more")).groupBy("id").agg(F.sort_array(F.collect_set("more")).alias("more"))
-    widened = old.join(back, "id", "left").select("shard", "id", "vec", F.when(F.col("more").isNull(), F.col("nbrs")).otherwise(F.slice(F.array_union("nbrs", "more"), 1, int(2 * degree))).alias("nbrs"))
-    return widened.unionByName(added)
+    joined = old.join(back, "id", "left").withColumn("union", F.array_union("nbrs", F.coalesce("more", F.expr("cast(array() as array<bigint>)"))))
+    crowd = F.col("more").isNotNull() & (F.size("union") > int(2 * degree))
+    crowded = joined.filter(crowd).select("id", "vec", "nbrs", "union").dropDuplicates(["id"])
+    points = vecs.select("cand", "cvec").unionByName(fresh.select(F.col("id").alias("cand"), F.col("vec").alias("cvec")))
+    pruned = prune_groups(crowded.select("id", "vec", F.explode("union").alias("cand")).join(points, "cand").select("id", "vec", "cand", "cvec"), degree, alpha).withColumnRenamed("nbrs", "kept")
+    # rows that a pruned list held and that no list holds any more
+    lists = joined.join(pruned, "id", "left").select("shard", "id", "vec", F.coalesce("kept", "union").alias("nbrs"), F.col("nbrs").alias("before"), F.col("kept").isNotNull().alias("cut"))
+    linked_to = lists.select(F.explode("nbrs").alias("id")).union(linked.select(F.explode("nbrs").alias("id"))).distinct()
+    lost = crowded.select(F.explode("union").alias("id")).distinct().join(linked_to, "id", "left_anti")
+    lost_old = lists.filter("cut").select(F.col("id").alias("at"), F.explode("before").alias("id")).join(lost, "id").join(fresh.select("id"), "id", "left_anti").select("at", "id")
+    homes = linked.join(lost, "id").select("id", F.col("nbrs")[0].alias("home"))
+    order = Window.partitionBy("home").orderBy("id")
+    tree = homes.withColumn("k", F.row_number().over(order) - 1)
+    parents = tree.select("home", F.col("k").alias("up"), F.col("id").alias("parent"))
+    below = tree.withColumn("up", F.floor((F.col("k") - 1) / int(degree)).cast("int")).join(parents, ["home", "up"], "left").select(F.coalesce("parent", "home").alias("at"), "id")
+    again = lost_old.union(below).groupBy(F.col("at").alias("id")).agg(F.sort_array(F.collect_set("id")).alias("again"))
+    whole = lists.select("shard", "id", "vec", "nbrs").unionByName(added).join(again, "id", "left")
+    return whole.select("shard", "id", "vec", F.when(F.col("again").isNull(), F.col("nbrs")).otherwise(F.array_union("nbrs", "again")).alias("nbrs"))
 
 
 def eager_delete(nodes: DataFrame, wanted: DataFrame, degree: int, alpha: float = 1.2) -> DataFrame:
