@@ -6,8 +6,8 @@ product of the trie with Levenshtein automata, made deterministic as words need
 edits so far), so that a word costs one table look-up a character and most words fall out of the table at once. Long
 entries may be matched with one edit. What a match with an edit is worth is learned as well.
 
-A match is weighed by its window of words: other matches nearby raise it, quotation marks around it or words of
-reporting near it lower it. Features of the matches of the whole text go through a logistic function.
+A match is weighed by its window of words: other matches nearby raise it, a quotation that it lies in, of any length, or
+words of reporting near it lower it. Features of the matches of the whole text go through a logistic function.
 
 Defined results: a null text counts as empty; texts without a match, empty ones too, get the score of no evidence.
 Without labels of both kinds every score is the share of toxic labels (0.0 without any). Repeated rows get equal scores.
@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -41,7 +42,9 @@ MAX_TERMS = 400
 CONTEXT = 6
 MAX_STATES = 100_000
 WORD = re.compile(r"[^\W_](?:[^\W_]|['’*@$!](?=[^\W_]))*")
-QUOTES = "\"“”„«»‹›‘`"
+#: Opening quotation marks and what closes them; a mark that closes one opens another where none is open.
+CLOSING = {'"': '"', "`": "`", "“": "”", "„": "“”", "«": "»", "»": "«", "‹": "›", "›": "‹", "‘": "’", "‚": "‘’"}
+QUOTE = re.compile("[\"`“”„«»‹›‘’‚]")
 #: Words that report another's words.
 REPORTING = frozenset("said says wrote quote quoted called calls word term dit écrit mot citation sagte schrieb wort zitat dijo escribió palabra cita".split())
 
@@ -135,6 +138,33 @@ class LexiconAutomaton:
         return e if e is not None and (best is None or e <= best) else best
 
 
+def quotations(text: str) -> list[tuple[int, int]]:
+    """Spans of the quotations of a text, outer ones only, in order. A mark that is never closed opens none."""
+    opened: list[tuple[str, int]] = []
+    spans: list[tuple[int, int]] = []
+    for m in QUOTE.finditer(text):
+        c, at = m.group(), m.start()
+        word_before, word_after = text[at - 1 : at].isalnum(), text[at + 1 : at + 2].isalnum()
+        k = next((k for k in range(len(opened) - 1, -1, -1) if c in CLOSING[opened[k][0]]), None)
+        if k is not None and not word_after and not (c == "’" and text[at - 1 : at].isspace()):
+            spans.append((opened[k][1], at))
+            del opened[k:]
+        elif c in CLOSING and not word_before:
+            same = next((j for j, (o, _) in enumerate(opened) if o == c), None)
+            if same is None:
+                opened.append((c, at))
+            elif c in CLOSING[c] or not text[:at].rstrip(" ").endswith("\n"):  # a mark at the start of a paragraph goes on with the quotation
+                del opened[same:]
+                opened.append((c, at))
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if not out or a > out[-1][1]:
+            out.append((a, b))
+        else:
+            out[-1] = out[-1][0], max(b, out[-1][1])
+    return out
+
+
 @dataclass
 class ToxicityModel:
     automaton: LexiconAutomaton | None
@@ -166,12 +196,13 @@ class ToxicityModel:
         if not hits:
             return None
         strengths, quoted = [], 0
+        spans = quotations(low)
         for k, (at, start, end, (edits, term)) in enumerate(hits):
             worth = self.worth.get((edits, term), 0.0)
             near = (k and at - hits[k - 1][0] <= CONTEXT) + (k + 1 < len(hits) and hits[k + 1][0] - at <= CONTEXT)
-            around = low[max(0, start - 60) : start], low[end : end + 60]
-            inside = bool(around[0].rstrip()[-1:] and around[0].rstrip()[-1:] in QUOTES and any(q in around[1] for q in QUOTES))
-            told = inside or not REPORTING.isdisjoint(WORD.findall(around[0])[-CONTEXT:])
+            k_span = bisect_right(spans, (start, len(low))) - 1
+            inside = k_span >= 0 and end <= spans[k_span][1]
+            told = inside or not REPORTING.isdisjoint(WORD.findall(low[max(0, start - 60) : start])[-CONTEXT:])
             quoted += told
             strengths.append(worth * (0.4 if told else 1.0) + 0.5 * near * (worth > 0))
         best = sorted(strengths, reverse=True)

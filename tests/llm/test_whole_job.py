@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from nearfield.llm import pii, secrets_scan
+from nearfield.llm import pii, secrets_scan, toxicity
 
 
 @pytest.fixture(scope="module")
@@ -86,3 +86,14 @@ def test_mentions_are_in_the_table(spark):
     df = spark.createDataFrame([(1, "Mr John Smith. John came.")], "doc_id long, text string")
     row = pii.pseudonymize_checked(df).first()
     assert row.n_entities == 2 and row.kinds == "name:3:13,name:15:19" and "John" not in row.text
+
+
+def test_quotations_of_several_words_are_seen():
+    inside = lambda t: [t[a + 1 : b] for a, b in toxicity.quotations(t)]
+    assert inside('he: "you are a worthless idiot" and left') == ["you are a worthless idiot"]
+    assert inside("a “you fool, ‘you’ idiot” b „du Narr“ c «sot que tu es» d »Narr«") == ["you fool, ‘you’ idiot", "du Narr", "sot que tu es", "Narr"]
+    assert inside("it’s 5\" wide, don’t; “never closed") == [] and inside('a "b c d" e "f g"') == ["b c d", "f g"]
+    words = ["idiot", "worthless"]
+    m = toxicity.ToxicityModel(toxicity.LexiconAutomaton(words, []), {(0, 0): 2.0, (0, 1): 2.0})
+    assert m.features('note: "you are a worthless idiot" here')[-1] == 1.0
+    assert m.features('note: "you" are a worthless idiot "here"')[-1] == 0.0
