@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from nearfield.llm import pii, secrets_scan, toxicity
+from nearfield.llm import pii, quality_rules, secrets_scan, toxicity
 
 
 @pytest.fixture(scope="module")
@@ -97,3 +97,12 @@ def test_quotations_of_several_words_are_seen():
     m = toxicity.ToxicityModel(toxicity.LexiconAutomaton(words, []), {(0, 0): 2.0, (0, 1): 2.0})
     assert m.features('note: "you are a worthless idiot" here')[-1] == 1.0
     assert m.features('note: "you" are a worthless idiot "here"')[-1] == 0.0
+
+
+def test_the_filter_keeps_clean_texts_of_all_scripts(spark):
+    tamil = "தமிழ் மொழி மிகவும் பழமையான மொழிகளில் ஒன்றாகும் இது பலரால் பேசப்படுகிறது".split()
+    thai = "ภาษาไทยเป็นภาษาที่ไม่มีการเว้นวรรคระหว่างคำ"
+    rows = [(1, " ".join(f"{a} {b} 2026" for a in tamil for b in tamil)), (2, " ".join(thai[k % 9 :] + thai[: k % 11] + thai[k % 7 : 20] for k in range(90)))]
+    rows.append((3, " ".join(f"averyverylongword{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(90))))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in quality_rules.filter_documents(df).collect()} == {1, 2}
