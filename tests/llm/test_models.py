@@ -2,6 +2,7 @@
 
 import hashlib
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -93,37 +94,54 @@ def test_toxicity(spark, documents, labels, odd):
     assert {r.score for r in toxicity.score(odd, toxicity.train(documents, labels.limit(0))).collect()} == {0.0}
 
 
-def within_one(a, b):
-    if abs(len(a) - len(b)) > 1:
-        return False
-    d = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        last, d[0] = d[0], i
-        for j, z in enumerate(b, 1):
-            last, d[j] = d[j], min(d[j] + 1, d[j - 1] + 1, last + (x != z))
-    return d[-1] <= 1
+def edits(a, b):
+    """Edit distance with swaps of neighbours, by the table."""
+    d = {(i, -1): i + 1 for i in range(-1, len(a))} | {(-1, j): j + 1 for j in range(-1, len(b))}
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            d[i, j] = min(d[i - 1, j] + 1, d[i, j - 1] + 1, d[i - 1, j - 1] + (x != y))
+            if i and j and x == b[j - 1] and y == a[i - 1]:
+                d[i, j] = min(d[i, j], d[i - 2, j - 2] + 1)
+    return d[len(a) - 1, len(b) - 1]
 
 
-def test_automaton_is_edit_distance_one():
-    words, stems = ["idiot", "worthless", "scum"], ["venomo"]
+def test_automaton_is_edit_distance_with_swaps():
+    words, stems = ["idiot", "worthless", "scum", "ass", "disgusting"], ["venomo"]
     a = toxicity.LexiconAutomaton(words, stems)
+    assert [a.edits(k) for k in range(6)] == [1, 2, 1, 0, 2, 1]
     rng = np.random.default_rng(4)
-    tried = 0
+    tried = Counter()
     for base in [*words, *stems]:
-        for _ in range(300):
+        for _ in range(400):
             w = list(base)
-            for _ in range(int(rng.integers(0, 3))):
+            for _ in range(int(rng.integers(0, 4))):
                 k = int(rng.integers(0, len(w) + 1))
-                w[k : k + int(rng.integers(0, 2))] = ["abcdeiou"[int(rng.integers(8))]] * int(rng.integers(0, 2))
+                if rng.integers(3) == 0 and 0 < k < len(w):
+                    w[k - 1], w[k] = w[k], w[k - 1]
+                else:
+                    w[k : k + int(rng.integers(0, 2))] = ["abcdeiou"[int(rng.integers(8))]] * int(rng.integers(0, 2))
             w = "".join(w)
+            found = [edits(w, t) for k, t in enumerate(words) if edits(w, t) <= a.edits(k)]
+            found += [e for t in stems for e in [min(edits(w[:n], t) for n in range(len(w) + 1))] if e <= 1]
             got = a.match(w)
-            exact = w in words or any(w.startswith(s) for s in stems)
-            fuzzy = any(len(t) >= toxicity.FUZZY_FROM and within_one(w, t) for t in words) or any(within_one(w[:n], s) for s in stems for n in range(len(w) + 1))
-            assert (got is not None) == (exact or fuzzy), w
-            if got is not None:
-                assert (got[0] == 0) == exact
-                tried += 1
-    assert tried > 200 and a.match("idi0t") == (1, 0) and a.match("scom") is None
+            assert (got and got[0]) == min(found, default=None), w
+            tried[got and got[0]] += 1
+    assert min(tried[0], tried[1], tried[2], tried[None]) > 100
+    assert a.match("idi0t") == a.match("idoit") == (1, 0) and a.match("scvm") == (1, 2) and a.match("disgsutnig") == (2, 4)
+
+
+def test_copies_count_little_and_nothing_is_cut():
+    assert toxicity.novelty(["a b c d", "a b c d", "x y z"]) == [1, 0.5, 1]
+    assert 6 < sum(toxicity.novelty(["one text that was copied"] * 500)) < 7
+    many = [f"{chr(97 + k % 26)}{chr(97 + k // 26)}{k % 7}foul" for k in range(600)]
+    learned = toxicity.learn_lexicon([(" ".join(many), 1.0)] * 40, [("plain", 1.0)] * 40)
+    assert len(learned) >= 600
+
+
+def test_stems_are_where_words_part():
+    assert toxicity.partings({"idiot", "idiots", "idiotic", "other"}) == {"idiot"}
+    long = "x" * 40
+    assert toxicity.partings({long + "a", long + "b"}) == {long}
 
 
 def test_quotation_weighs_less():
