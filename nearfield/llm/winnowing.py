@@ -1,53 +1,73 @@
 """Document fingerprints by winnowing, in DataFrame functions only.
 
-A text is cut into tokens (words; each ideograph or syllable of scripts without spaces is a token of its own), every
-run of ``K`` tokens is hashed, and of every ``WINDOW`` consecutive hashes the least is selected, the rightmost one
-among equals. The selected (hash, place) pairs are the fingerprint. Two texts that share a passage of at least
-``WINDOW + K - 1`` tokens select a common hash in it, and the kept places say where.
+A text is cut into tokens (words; each ideograph or syllable of scripts without spaces is a token of its own), and every
+run of ``K`` tokens gets a rolling hash: a cyclic polynomial over the tokens' XXH64, so that each token is hashed once
+and from one run to the next a token's hash enters and one leaves. Of every ``WINDOW`` consecutive hashes the least is
+selected, the rightmost one among equals. The selected (hash, place) pairs are the fingerprint. Two texts that share a
+passage of at least ``WINDOW + K - 1`` tokens select a common hash in it, and the kept places say where.
 
 Likeness is the Jaccard measure of the two sets of selected hashes; a text with fewer than ``K`` tokens has one hash,
-of all its tokens; texts without a token have none and are alike (1) only to each other.
+the polynomial of all its tokens; texts without a token have none and are alike (1) only to each other.
 
-``with_next`` gives each row the text of the next row in descending order of doc_id. It cuts the ids into ranges of a
-bounded number of rows from a fixed-size histogram, so the texts go through one shuffle by range, and hands each range
-a copy of the first row beyond it. Nulls in doc_id come last; ties are in order of text. Empty tables give empty results.
+``with_next`` gives each row the text of the next row in descending order of doc_id. Rows fall into ranges of (doc_id,
+hash of the text) between quantiles of a bounded sample, so the texts go through one shuffle by range, and each range
+gets a copy of the first row below it. The sample decides how even the ranges are and never a result. Rows that are
+equal in both and are as many as a range holds are counted, go on as one row, and are repeated at the end.
+
+Defined results: null texts count as empty; null doc_ids come last, ties are in order of the text's hash, rows equal in
+doc_id and text are interchangeable; tokens and texts may have any length; empty tables give empty results. Only doc_id
+and text are read, so that other columns, whatever their names, don't matter.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
 from .text import let
 
 K = 3
 WINDOW = 4
-#: Cells of the histogram of ids, and rows that a range of ids should hold.
-CELLS = 4096
+#: Rows that a range of ids should hold, most ranges, and keys drawn for their bounds: a number for each range, and at most.
 RANGE_ROWS = 1024
+MAX_RANGES = 1 << 16
+DRAWN, MAX_DRAWN = 16, 1 << 18
 
-#: A token: one character of a script written without spaces, or a run of at most 64 other characters between gaps.
+#: A token: one character of a script written without spaces, or a run of other characters between gaps.
 GAP = r"[ \t-\r]+"
 UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]"
-TOKEN = UNSPACED + r"|[^ \t-\r\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]{1,64}"
+TOKEN = UNSPACED + r"|[^ \t-\r\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]+"
 
 
 def tokens(text: Column) -> Column:
     whole = F.coalesce(text, F.lit(""))
     by_gap = F.split(whole, GAP)
     fine = F.regexp_extract_all(whole, F.lit(f"({TOKEN})"), 1)
-    return F.filter(F.when(whole.rlike(UNSPACED + r"|[^ \t-\r]{65}"), fine).otherwise(by_gap), lambda t: t != "")
+    return F.filter(F.when(whole.rlike(UNSPACED), fine).otherwise(by_gap), lambda t: t != "")
+
+
+def _turn(x: Column, n: int) -> Column:
+    """The 64 bits of ``x`` turned left by ``n``."""
+    return F.shiftleft(x, n).bitwiseOR(F.shiftrightunsigned(x, 64 - n)) if n else x
 
 
 def gram_hashes(tokens: Column, k: int = K) -> Column:
-    """Hashes of each run of ``k`` tokens; one hash of all tokens where there are fewer, none where there is none."""
+    """Rolling hashes of each run of ``k`` tokens; one of all tokens where there are fewer, none where there is none."""
+
+    def rolled(hs, i, n):
+        return reduce(lambda a, b: a.bitwiseXOR(b), [_turn(F.get(hs, i + j) if j else F.get(hs, i), n - 1 - j) for j in range(n)])
 
-    def runs(ts):
-        starts = F.slice(ts, F.lit(1), F.greatest(F.size(ts) - (k - 1), F.lit(0)))
-        grams = F.transform(starts, lambda t, i: F.xxhash64(t, *[F.get(ts, i + j) for j in range(1, k)]))
-        return F.when((F.size(ts) > 0) & (F.size(ts) < k), F.array(F.xxhash64(ts))).otherwise(grams)
+    def runs(hs):
+        starts = F.slice(hs, F.lit(1), F.greatest(F.size(hs) - (k - 1), F.lit(0)))
+        out = F.transform(starts, lambda h, i: reduce(lambda a, b: a.bitwiseXOR(b), [_turn(h if j == 0 else F.get(hs, i + j), k - 1 - j) for j in range(k)]))
+        for n in range(1, k):
+            out = F.when(F.size(hs) == n, F.array(rolled(hs, F.lit(0), n))).otherwise(out)
+        return out
 
-    return let(tokens, runs)
+    return let(F.transform(tokens, lambda t: F.xxhash64(t)), runs)
 
 
 def select_minima(hashes: Column, window: int = WINDOW) -> Column:
@@ -96,56 +116,87 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(union == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / union)
 
 
-def _ranges(documents: DataFrame, range_rows: int) -> Column:
-    """A column that numbers ranges of doc_id from the lowest up; null ids are -1.
+def _bounds(keyed: DataFrame, range_rows: int) -> list[tuple[bool, int, int]]:
+    """Lower bounds (known, id, hash) of ranges of about ``range_rows`` rows each, in order, from a bounded sample.
 
-    The span of ids is cut into CELLS cells of equal width; cells with few rows share a range and one with many is cut
-    into as many equal parts as its rows call for. The driver gets CELLS counts, whatever the input.
+    A key that fills a range or more comes as often as that.
     """
-    low, high = documents.agg(F.min("doc_id"), F.max("doc_id")).first()
-    if low is None:
-        return F.lit(-1).cast("long")
-    width = (high - low) // CELLS + 1
-    wide = lambda c: c.cast("decimal(20,0)")
-    offset = wide(F.col("doc_id")) - wide(F.lit(low))
-    cell = F.floor(offset / wide(F.lit(width))).cast("int")
-    counts = dict(documents.filter("doc_id IS NOT NULL").groupBy(cell.alias("cell")).count().collect())
-    first, parts, now, held = [], [], 0, 0
-    for c in range(CELLS):
-        n = counts.get(c, 0)
-        if held and held + n > range_rows:
-            now, held = now + 1, 0
-        k = max(1, min(width, -(-n // range_rows)))
-        first.append(now)
-        parts.append(k)
-        held += n
-        if k > 1:
-            now, held = now + k, 0
-    at = lambda xs: F.get(F.split(F.lit(",".join(map(str, xs))), ",").cast("array<bigint>"), cell)  # noqa: E731  a constant
-    within = offset - wide(cell) * wide(F.lit(width))
-    part = F.floor(within.cast("double") * at(parts) / float(width)).cast("long")
-    return F.coalesce(at(first) + F.least(part, at(parts) - 1), F.lit(-1).cast("long"))
+    n = keyed.count()
+    ranges = min(MAX_RANGES, -(-n // range_rows))
+    if ranges < 2:
+        return []
+    want = min(n, DRAWN * ranges, MAX_DRAWN)
+    drawn = keyed if want == n else keyed.filter(F.rand(7) < 1.05 * want / n)
+    keys = sorted(map(tuple, drawn.select("_known", "_id", "_hash").collect()))
+    return [keys[len(keys) * r // ranges] for r in range(1, ranges)] if keys else []
 
 
-def with_next(documents: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
-    """(doc_id, text, next_text): the text of the next document in descending doc_id; after the last, that of the first.
+def _place(bounds: list[tuple[bool, int, int]]) -> Column:
+    """The number of the bounds that are at most (_known, _id, _hash), by binary search in a constant."""
+    constant = lambda xs: F.split(F.lit(",".join(map(str, xs))), ",").cast("array<bigint>")
+    known, ids, hashes = (constant(map(int, x)) for x in zip(*bounds, strict=True))
+    steps = [1 << b for b in range(len(bounds).bit_length() - 1, -1, -1)]
+    row = F.struct(F.col("_known").cast("bigint").alias("k"), F.col("_id").alias("i"), F.col("_hash").alias("h"))
+
+    def step(at, size):
+        to = (at + size - 1).cast("int")
+        bound = F.struct(F.get(known, to).alias("k"), F.get(ids, to).alias("i"), F.get(hashes, to).alias("h"))
+        return F.when((at + size <= len(bounds)) & (bound <= row), at + size).otherwise(at)
+
+    return F.aggregate(F.array(*[F.lit(x) for x in steps]), F.lit(0), step).cast("bigint")
+
 
-    Null texts are empty.
+def _keyed(documents: DataFrame) -> DataFrame:
+    docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    return docs.withColumns({"_known": F.col("doc_id").isNotNull(), "_id": F.coalesce("doc_id", F.lit(0).cast("bigint")), "_hash": F.xxhash64("text")})
+
+
+def in_ranges(documents: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """(doc_id, text, _known, _hash, _range, _n): every row with its range from the lowest up, and ``_n`` 1.
+
+    Rows equal in doc_id and text that would fill ranges are one row, of which ``_n`` tells how many there are.
     """
-    docs = documents.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    docs = docs.withColumn("_range", _ranges(docs, range_rows))
-    order = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "text")
-    # the first row of each range, one a range: what follows the last row of the nearest range above that has rows
-    firsts = docs.groupBy("_range").agg(F.max(order).alias("first"))
-    above = F.lead("_range").over(Window.orderBy("_range"))
-    highest = F.max("_range").over(Window.partitionBy())
-    lowest = F.min("_range").over(Window.partitionBy())
-    ghosts = firsts.select(
-        F.when(F.col("_range") == highest, lowest).otherwise(above).alias("_range"), F.col("first.doc_id").alias("doc_id"), F.col("first.text").alias("text"), F.lit(True).alias("_ghost")
-    )
-    lined = docs.withColumn("_ghost", F.lit(False)).unionByName(ghosts)
-    w = Window.partitionBy("_range").orderBy("_ghost", F.col("doc_id").desc_nulls_last(), F.col("text").desc())
-    return lined.withColumn("next_text", F.lead("text").over(w)).filter(~F.col("_ghost")).select("doc_id", "text", "next_text")
+    keyed = _keyed(documents)
+    drawn = _bounds(keyed, range_rows)
+    # a key that is two bounds or more gets a range of its own
+    heavy = sorted({a for a, b in zip(drawn, drawn[1:], strict=False) if a == b})
+    after = [(k, i, h + 1) if h < 2**63 - 1 else (k, i + 1, -(2**63)) for k, i, h in heavy]
+    bounds = sorted({*drawn, *after})
+    placed = keyed.withColumn("_range", _place(bounds) if bounds else F.lit(0).cast("bigint")).withColumn("_n", F.lit(1).cast("bigint"))
+    if heavy:
+        of = F.array_contains(F.split(F.lit(",".join(str(bounds.index(x) + 1) for x in heavy)), ",").cast("array<bigint>"), F.col("_range"))
+        same = ["_range", "doc_id", "_known", "_hash"]
+        merged = placed.filter(of).groupBy(*same).agg(F.min("text").alias("text"), F.count(F.lit(1)).alias("_n"))
+        placed = placed.filter(~of).select(*merged.columns).unionByName(merged)
+    return placed.select("doc_id", "text", "_known", "_hash", "_range", "_n")
+
+
+def _lined(documents: DataFrame, range_rows: int, carry: dict[str, Column]) -> DataFrame:
+    """(doc_id, text, ``carry``, next, times): each row with text and ``carry`` of the next, and how often it is there."""
+    docs = in_ranges(documents, range_rows)
+    order = F.struct("_known", "doc_id", "_hash", "text")
+    # the first row of each range goes below the nearest range above that has rows; the windows see numbers only
+    firsts = cut(docs.groupBy("_range").agg(F.max(order).alias("first")))
+    ends = Window.partitionBy()
+    above = firsts.select("_range", F.coalesce(F.lead("_range").over(Window.orderBy("_range")), F.min("_range").over(ends)).alias("_to"))
+    ghosts = firsts.join(above, "_range").select(*[F.col(f"first.{c}").alias(c) for c in ("doc_id", "text", "_known", "_hash")], F.col("_to").alias("_range"), F.lit(0).cast("bigint").alias("_n"))
+    lined = docs.unionByName(ghosts).withColumns(carry)
+    w = Window.partitionBy("_range").orderBy(F.col("_n") == 0, F.col("_known").desc(), F.col("doc_id").desc(), F.col("_hash").desc(), F.col("text").desc())
+    row = F.struct("text", *carry)
+    found = lined.withColumn("next", F.lead(row).over(w)).filter("_n > 0")
+    # of equal rows all but the last have their like behind them
+    both = F.array(F.struct(F.col("next"), F.lit(1).cast("bigint").alias("times")), F.struct(row.alias("next"), (F.col("_n") - 1).alias("times")))
+    return found.select("doc_id", "text", *carry, F.explode(F.filter(both, lambda x: x["times"] > 0)).alias("_each")).select("doc_id", "text", *carry, "_each.next", "_each.times")
+
+
+def repeated(df: DataFrame) -> DataFrame:
+    """Each row of ``df`` as often as its column times says, without that column."""
+    return df.withColumn("times", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("times")))).drop("times")
+
+
+def with_next(documents: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """(doc_id, text, next_text): the text of the next document in descending doc_id; after the last, that of the first."""
+    return repeated(_lined(documents, range_rows, {}).select("doc_id", "text", F.col("next.text").alias("next_text"), "times"))
 
 
 def edited(text: Column, following: Column) -> Column:
@@ -156,19 +207,20 @@ def edited(text: Column, following: Column) -> Column:
 
 
 def fingerprint_documents(documents: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
-    """Each text with its edited text and the fingerprints of both and of the next text."""
-    lined = with_next(documents, range_rows).withColumn("edited_text", edited(F.col("text"), F.col("next_text")))
-    out = lined
-    for column, prefix in (("text", ""), ("edited_text", "edited_"), ("next_text", "next_")):
-        out = winnow(out, column, prefix)
-    return out
+    """Each text with its edited text and the fingerprints of both, the hashes of the next text, and how often it is there.
+
+    A text is fingerprinted once, before it is shuffled; its hashes travel with it to be the next one's.
+    """
+    lined = _lined(documents, range_rows, {"minima": select_minima(gram_hashes(tokens(F.col("text"))))})
+    named = lined.select("doc_id", "text", F.col("minima.hash").alias("hashes"), F.col("minima.place").alias("places"), F.col("next.minima.hash").alias("next_hashes"), edited(F.col("text"), F.col("next.text")).alias("edited_text"), "times")
+    return winnow(named, "edited_text", "edited_")
 
 
 COLUMNS = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 
 
 def compare_documents(documents: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
-    return fingerprint_documents(documents, range_rows).select(
+    compared = fingerprint_documents(documents, range_rows).select(
         "doc_id",
         F.length("text").cast("long").alias("n_chars"),
         F.sha2(F.encode("edited_text", "UTF-8"), 256).alias("edited_sha256"),
@@ -176,4 +228,6 @@ def compare_documents(documents: DataFrame, range_rows: int = RANGE_ROWS) -> Dat
         digest(F.col("edited_hashes"), F.col("edited_places")).alias("edited_fingerprint"),
         likeness(F.col("hashes"), F.col("edited_hashes")).alias("near_edited"),
         likeness(F.col("hashes"), F.col("next_hashes")).alias("near_next"),
+        "times",
     )
+    return repeated(compared)

@@ -3,9 +3,12 @@
 import hashlib
 import math
 import re
+import struct
 from collections import Counter, defaultdict
+from functools import reduce
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from nearfield.llm import mixing, quality_rules, winnowing
@@ -103,22 +106,63 @@ def test_mix_rows(odd):
     assert mixing.mix(odd.limit(0)).count() == 0 and mixing.plan_copies(odd.limit(0)).count() == 0
 
 
-def test_winnowing_against_brute_force(spark):
-    texts = [" ".join(f"w{(i * i * 7 + k) % 13}" for i in range(n)) for k, n in enumerate((0, 1, 2, 3, 5, 9, 40, 200))] + ["aa " * 50, "日本語のテキストは長い" * 3, "x" * 200 + " y z"]
-    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
-    out = df.withColumn("_t", winnowing.tokens(F.col("text"))).withColumn("grams", winnowing.gram_hashes(F.col("_t")))
-    rows = winnowing.winnow(out, "text", "").collect()
-    k, w = winnowing.K, winnowing.WINDOW
-    for r in rows:
-        h = r.grams
-        assert len(h) == (max(len(r["_t"]) - k + 1, 1) if r["_t"] else 0)
-        want = []
-        for i in range(max(len(h) - w + 1, 1 if h else 0)):
-            part = h[i : i + w]
-            at = i + max(j for j, x in enumerate(part) if x == min(part))
-            if not want or want[-1] != at:
-                want.append(at)
-        assert list(r.places) == want and list(r.hashes) == [h[p] for p in want], r.text[:30]
+UNSPACED = re.compile("[\u4e00-\u9fff\u3005\u3007\u3040-\u30ff]")
+M64 = (1 << 64) - 1
+
+
+def turn(x, n):
+    return (x << n | x >> (64 - n)) & M64
+
+
+def signed(x):
+    return x - (1 << 64) if x >> 63 else x
+
+
+def winnowed(text):
+    """(hash, place) pairs, from the definition."""
+    ts = re.findall(f"{UNSPACED.pattern}|[^\\x20\\x09-\\x0D\u4e00-\u9fff\u3005\u3007\u3040-\u30ff]+", text)
+    hs = [xxhash.xxh64_intdigest(t, 42) for t in ts]
+    k = min(winnowing.K, len(ts))
+    grams = [signed(reduce(lambda a, b: a ^ b, (turn(hs[i + j], k - 1 - j) for j in range(k)))) for i in range(len(ts) - k + 1)] if ts else []
+    out = []
+    for i in range(max(len(grams) - winnowing.WINDOW + 1, 1 if grams else 0)):
+        part = grams[i : i + winnowing.WINDOW]
+        at = i + max(j for j, x in enumerate(part) if x == min(part))
+        if not out or out[-1][1] != at:
+            out.append((grams[at], at))
+    return out
+
+
+def digest_of(pairs):
+    def chain(seed, *arrays):
+        for size, xs in arrays:
+            for x in xs:
+                seed = xxhash.xxh64_intdigest(struct.pack(f"<{size}", x), seed)
+        return seed
+
+    h, p = ("q", [a for a, _ in pairs]), ("i", [b for _, b in pairs])
+    return f"{chain(42, h, p):016x}{chain(42, ('i', [1]), p, h):016x}"
+
+
+def alike(a, b):
+    a, b = {x for x, _ in a}, {x for x, _ in b}
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def test_fingerprints_against_brute_force(spark):
+    texts = [" ".join(f"w{(i * i * 7 + k) % 13}" for i in range(n)) for k, n in enumerate((0, 1, 2, 3, 5, 9, 40, 200))]
+    texts += ["aa " * 50, "日本語のテキストは長い" * 3, "x" * 200 + " y z", "a b " + "y" * 70000 + " c d", "long " * 60000, "mixed 日本 text, ü"]
+    df = spark.createDataFrame([(3 * i, t, 1, 2) for i, t in enumerate(texts)] + [(1000, None, 1, 2)], "doc_id long, text string, minima int, times int")
+    got = {r.doc_id: r for r in winnowing.compare_documents(df, 4).collect()}
+    assert len(got) == len(texts) + 1
+    order = [(1000, ""), *reversed([(3 * i, t) for i, t in enumerate(texts)])]
+    for k, (i, t) in enumerate(order):
+        following = order[(k + 1) % len(order)][1]
+        edit = t[: len(t) - len(t) // 2] + following[: len(t) // 2]
+        own, changed = winnowed(t), winnowed(edit)
+        assert (got[i].n_chars, got[i].edited_sha256) == (len(t), hashlib.sha256(edit.encode()).hexdigest())
+        assert (got[i].fingerprint, got[i].edited_fingerprint) == (digest_of(own), digest_of(changed)), t[:40]
+        assert math.isclose(got[i].near_edited, alike(own, changed)) and math.isclose(got[i].near_next, alike(own, winnowed(following)))
 
 
 def test_shared_passage_is_matched(spark):
@@ -130,26 +174,25 @@ def test_shared_passage_is_matched(spark):
 
 @pytest.mark.parametrize("range_rows", [1, 2, 3, 1024])
 def test_next_document_and_edited_text(spark, range_rows):
-    ids = [5, 2, 900, 901, 10**12, 7, 7, -3]
-    df = spark.createDataFrame([(i, f"text {k} of {i} " * (k + 1)) for k, i in enumerate(ids)] + [(None, "last"), (4, None), (1, ""), (0, "é日本")], "doc_id long, text string")
+    ids = [5, 2, 900, 901, 10**12, 7, 7, -3, 2**63 - 1, -(2**63)]
+    df = spark.createDataFrame([(i, f"text {k} of {i} " * (k + 1)) for k, i in enumerate(ids)] + [(None, "last"), (None, "more"), (4, None), (1, ""), (0, "é日本")] + [(8, "again")] * 9, "doc_id long, text string")
     got = winnowing.with_next(df, range_rows).collect()
-    order = sorted(((r.doc_id, r.text or "") for r in df.collect()), key=lambda x: (x[0] is not None, x[0] or 0, x[1]), reverse=True)
+    key = lambda t: signed(xxhash.xxh64_intdigest(t, 42))
+    order = sorted(((r.doc_id, r.text or "") for r in df.collect()), key=lambda x: (x[0] is not None, x[0] or 0, key(x[1])), reverse=True)
     want = sorted(((d, t, order[(k + 1) % len(order)][1]) for k, (d, t) in enumerate(order)), key=repr)
     assert sorted(map(tuple, got), key=repr) == want
-    for r in winnowing.compare_documents(df, range_rows).collect() if range_rows == 2 else ():
-        options = [(t, n) for d, t, n in want if d == r.doc_id]
-        edits = {hashlib.sha256((t[: len(t) - len(t) // 2] + n[: len(t) // 2]).encode()).hexdigest() for t, n in options}
-        assert r.edited_sha256 in edits and 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
-
-
-def test_dense_ids_are_cut_into_ranges(spark):
-    df = spark.range(5000).selectExpr("id + 3 AS doc_id", "cast(id AS string) AS text")
-    numbered = df.withColumn("r", winnowing._ranges(df, 100))
-    sizes = [r["count"] for r in numbered.groupBy("r").count().collect()]
-    assert max(sizes) <= 110 and len(sizes) >= 45
-    far = df.union(spark.createDataFrame([(10**15, "far")], "doc_id long, text string"))
-    sizes = [r["count"] for r in far.withColumn("r", winnowing._ranges(far, 100)).groupBy("r").count().collect()]
-    assert sum(sizes) == 5001
+    assert winnowing.compare_documents(df, range_rows).count() == len(want)
+
+
+@pytest.mark.parametrize("case", ["far", "one id", "null ids", "one row", "dense"])
+def test_ranges_are_even(spark, case):
+    rows = spark.range(20000).selectExpr("id", "cast(id AS string) AS text")
+    doc_id = {"far": "if(id = 0, 1000000000000000, id)", "one id": "if(id % 3 = 0, 7, id)", "null ids": "if(id % 3 = 0, null, id)", "one row": "if(id % 3 = 0, 7, id)", "dense": "id + 3"}[case]
+    df = rows.selectExpr(f"{doc_id} AS doc_id", "if(id % 3 = 0, 'same', text) AS text" if case == "one row" else "text")
+    placed = winnowing.in_ranges(df, 500).cache()
+    sizes = [r["count"] for r in placed.groupBy("_range").count().collect()]
+    assert placed.agg(F.sum("_n")).first()[0] == 20000 and max(sizes) < 1200 and len(sizes) > (25 if case == "one row" else 35)
+    assert winnowing.with_next(df, 500).count() == 20000
 
 
 def test_equal_texts_and_empty_table(spark):
