@@ -180,7 +180,7 @@ def _lined(documents: DataFrame, range_rows: int, carry: dict[str, Column]) -> D
     ends = Window.partitionBy()
     above = firsts.select("_range", F.coalesce(F.lead("_range").over(Window.orderBy("_range")), F.min("_range").over(ends)).alias("_to"))
     ghosts = firsts.join(above, "_range").select(*[F.col(f"first.{c}").alias(c) for c in ("doc_id", "text", "_known", "_hash")], F.col("_to").alias("_range"), F.lit(0).cast("bigint").alias("_n"))
-    lined = docs.unionByName(ghosts).withColumns(carry)
+    lined = docs.unionByName(ghosts).repartition("_range").withColumns(carry)  # after the shuffle, where the ranges are even
     w = Window.partitionBy("_range").orderBy(F.col("_n") == 0, F.col("_known").desc(), F.col("doc_id").desc(), F.col("_hash").desc(), F.col("text").desc())
     row = F.struct("text", *carry)
     found = lined.withColumn("next", F.lead(row).over(w)).filter("_n > 0")
@@ -209,7 +209,7 @@ def edited(text: Column, following: Column) -> Column:
 def fingerprint_documents(documents: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
     """Each text with its edited text and the fingerprints of both, the hashes of the next text, and how often it is there.
 
-    A text is fingerprinted once, before it is shuffled; its hashes travel with it to be the next one's.
+    A text is fingerprinted once; its hashes are the next text's of the row before it as well.
     """
     lined = _lined(documents, range_rows, {"minima": select_minima(gram_hashes(tokens(F.col("text"))))})
     named = lined.select("doc_id", "text", F.col("minima.hash").alias("hashes"), F.col("minima.place").alias("places"), F.col("next.minima.hash").alias("next_hashes"), edited(F.col("text"), F.col("next.text")).alias("edited_text"), "times")
