@@ -5,9 +5,10 @@ expected copies are prefix-summed over the source's documents, one random offset
 once for each integer boundary its share of the sum crosses. Since the documents are summed in order of size, every
 range of sizes gets its share and the words taken come close to the target.
 
-The prefix sum is two-level, so that no task holds a source: documents fall into cells of (source, size class,
-bucket); the cells, which are aggregates, are summed per source, and a document's place within its cell comes from a
-window over the cell.
+The prefix sum is two-level, so that no task holds a source: documents are cut into even ranges of the order (source,
+size class, bucket, size, doc_id); the counts of the ranges, which are aggregates, are summed per source, and a
+document's place within its range comes from a window over the range. Rows equal in every column that would fill ranges
+are counted, and go on as one row.
 
 Targets follow from one closed form: with water level L, a source of weight w and size s gets min(w * L, 3 * s), and
 L is chosen so that the targets add up to all sizes.
@@ -25,14 +26,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
+from . import ranges
 from .text import bucket, n_words
 
 #: Weights of the sources, in order of code points, repeating.
 WEIGHTS = (1, 2, 3)
 #: No source is repeated more often than this.
 MAX_COPIES = 3
-#: Buckets into which documents of one source and size class are split.
+#: Buckets that spread documents of one size class by their ids, and rows that a range of the order should hold.
 BUCKETS = 32
+RANGE_ROWS = 1 << 15
 SEED = 17
 
 
@@ -74,49 +77,78 @@ def source_offset(source: Column, seed: int) -> Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long") / F.lit(float(2**32))
 
 
-def plan_copies(documents: DataFrame, seed: int = SEED, weights: tuple[int, ...] = WEIGHTS, max_copies: int = MAX_COPIES, carry: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, source, size, source_size, target, copies) of every row, plus the columns named in ``carry``.
+KEY = ["_source", "_class", "_bucket", "_size", "_known", "_id", "_hash"]
 
-    Without ``carry`` the sizes are counted once and held in the shared folder; with it the texts are read twice
-    rather than copied there.
-    """
-    sized = (
-        documents.select("doc_id", "source", n_words(F.col("text")).alias("size"), *carry)
-        .withColumn("_class", size_class(F.col("size")))
-        .withColumn("_bucket", bucket(F.col("doc_id"), BUCKETS))
+
+def add_key(documents: DataFrame) -> DataFrame:
+    """``documents`` (doc_id, source, size, ...) with the key of the order in which they are summed."""
+    return documents.withColumns(
+        {
+            "_source": F.xxhash64(F.col("source").isNull(), "source"),
+            "_class": size_class(F.col("size")).cast("bigint"),
+            "_bucket": bucket(F.col("doc_id"), BUCKETS).cast("bigint"),
+            "_size": F.col("size"),
+            "_known": F.col("doc_id").isNull().cast("bigint"),
+            "_id": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0).cast("bigint")),
+            "_hash": F.xxhash64(*documents.columns),
+        }
     )
+
+
+def _groups(documents: DataFrame, seed: int, weights: tuple[int, ...], max_copies: int, carry: tuple[str, ...], range_rows: int) -> DataFrame:
+    """(doc_id, source, size, source_size, target, _last, _n, _each, _offset, carry): groups of equal rows, mostly of one.
+
+    The rows of a group have the places from ``_last`` - ``_n`` + 1 to ``_last`` in their source.
+    """
+    sized = documents.select("doc_id", "source", n_words(F.col("text")).alias("size"), *carry)
     if not carry:
         sized = cut(sized)
-    cell = ["source", "_class", "_bucket"]
-    cells = sized.groupBy(*cell).agg(F.count(F.lit(1)).alias("_n"), F.sum("size").alias("_size"))
-    # classes first per source, then the buckets within a class: neither window holds more than a source's cells
-    placed = cells.withColumn("_before", F.coalesce(F.sum("_n").over(Window.partitionBy("source").orderBy("_class", "_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    targets = source_targets(cells.groupBy("source").agg(F.sum("_size").alias("source_size")), weights, max_copies)
-    t = targets.select(F.col("source").alias("_source"), "source_size", "target")
-    known = placed.join(t, placed["source"].eqNullSafe(t["_source"])).select(*[F.col(c).alias(f"_c{c}") for c in cell], "_before", "source_size", "target")
-    ranked = sized.withColumn("_place", F.row_number().over(Window.partitionBy(*cell).orderBy("size", F.col("doc_id").asc_nulls_last())))
-    same = ranked["source"].eqNullSafe(known["_csource"]) & (ranked["_class"] == known["_c_class"]) & (ranked["_bucket"] == known["_c_bucket"])
-    upto = F.col("_before") + F.col("_place")
+    sample = (lambda df: add_key(df)) if not carry else (lambda df: add_key(df.select("doc_id", "source", n_words(F.col("text")).alias("size"), *carry)))
+    placed, heavy = ranges.in_ranges(sized if not carry else documents, sample, KEY, range_rows)
+    placed = placed.withColumn("_n", F.lit(1).cast("bigint"))
+    if heavy is not None:
+        plain = [*sized.columns, *KEY, "_range"]
+        merged = placed.filter(heavy).groupBy("_range", "_hash").agg(F.first(F.struct(*[c for c in plain if c not in ("_range", "_hash")])).alias("_row"), F.count(F.lit(1)).alias("_n"))
+        merged = merged.select("_range", "_hash", "_row.*", "_n")
+        placed = placed.filter(~heavy).unionByName(merged)
+    cells = placed.groupBy("source", "_range").agg(F.sum("_n").alias("_rows"), F.sum(F.col("size") * F.col("_n")).alias("_words"))
+    if carry:
+        cells = cut(cells)
+    before = cells.withColumn("_before", F.coalesce(F.sum("_rows").over(Window.partitionBy("source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    targets = source_targets(cells.groupBy("source").agg(F.sum("_words").cast("bigint").alias("source_size")), weights, max_copies)
+    t = targets.select(F.col("source").alias("_name"), "source_size", "target")
+    known = before.join(t, before["source"].eqNullSafe(t["_name"])).select(F.col("source").alias("_name"), F.col("_range").alias("_cell"), "_before", "source_size", "target")
+    within = Window.partitionBy("source", "_range").orderBy(*KEY[1:]).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = placed.withColumn("_upto", F.sum("_n").over(within))
+    same = ranked["source"].eqNullSafe(known["_name"]) & (ranked["_range"] == known["_cell"])
     each = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    offset = source_offset(F.col("source"), seed)
-    return (
-        ranked.join(known, same)
-        .withColumn("copies", (F.floor(each * upto + offset) - F.floor(each * (upto - 1) + offset)).cast("long"))
-        .select("doc_id", "source", "size", "source_size", "target", "copies", *carry)
-    )
+    return ranked.join(known, same).select("doc_id", "source", "size", "source_size", "target", (F.col("_before") + F.col("_upto")).alias("_last"), "_n", each.alias("_each"), source_offset(F.col("source"), seed).alias("_offset"), *carry)
+
+
+def plan_copies(documents: DataFrame, seed: int = SEED, weights: tuple[int, ...] = WEIGHTS, max_copies: int = MAX_COPIES, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """(doc_id, source, size, source_size, target, copies) of every row.
+
+    The sizes are counted once and held in the shared folder.
+    """
+    rows = _groups(documents, seed, weights, max_copies, (), range_rows)
+    place = F.explode(F.sequence(F.col("_last") - F.col("_n") + 1, F.col("_last"))).alias("_place")
+    crossed = F.floor(F.col("_each") * F.col("_place") + F.col("_offset")) - F.floor(F.col("_each") * (F.col("_place") - 1) + F.col("_offset"))
+    return rows.select("*", place).select("doc_id", "source", "size", "source_size", "target", crossed.cast("long").alias("copies"))
 
 
-def mix(documents: DataFrame, **how) -> DataFrame:
+def mix(documents: DataFrame, seed: int = SEED, weights: tuple[int, ...] = WEIGHTS, max_copies: int = MAX_COPIES, range_rows: int = RANGE_ROWS) -> DataFrame:
     """The rows of the mix: each row of ``documents`` as often as its copies say, with the columns of ``documents``.
 
-    The texts go through one shuffle, that of the cells; they aren't joined again.
+    The texts are read twice rather than held, and go through one shuffle, that of the ranges.
     """
     names = documents.columns
     own = {c: f"_own{i}" for i, c in enumerate(names) if c not in ("doc_id", "source")}
     held = documents.select("doc_id", "source", "text", *[F.col(c).alias(a) for c, a in own.items()])
-    planned = plan_copies(held, carry=tuple(own.values()), **how)
+    rows = _groups(held, seed, weights, max_copies, tuple(own.values()), range_rows)
+    copies = F.floor(F.col("_each") * F.col("_last") + F.col("_offset")) - F.floor(F.col("_each") * (F.col("_last") - F.col("_n")) + F.col("_offset"))
     out = [F.col(own.get(c, c)).alias(c) for c in names]
-    return planned.filter("copies > 0").withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*out)
+    emitted = rows.withColumn("_copies", copies.cast("bigint")).filter("_copies > 0")
+    return emitted.withColumn("_k", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_copies")))).select(*out)
 
 
 COLUMNS = ["doc_id", "size", "source_size", "target", "taken", "copies"]

@@ -27,14 +27,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
+from . import ranges
 from .text import let
 
 K = 3
 WINDOW = 4
-#: Rows that a range of ids should hold, most ranges, and keys drawn for their bounds: a number for each range, and at most.
+#: Rows that a range of ids should hold.
 RANGE_ROWS = 1024
-MAX_RANGES = 1 << 16
-DRAWN, MAX_DRAWN = 16, 1 << 18
 
 #: A token: one character of a script written without spaces, or a run of other characters between gaps.
 GAP = r"[ \t-\r]+"
@@ -116,39 +115,9 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(union == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / union)
 
 
-def _bounds(keyed: DataFrame, range_rows: int) -> list[tuple[bool, int, int]]:
-    """Lower bounds (known, id, hash) of ranges of about ``range_rows`` rows each, in order, from a bounded sample.
-
-    A key that fills a range or more comes as often as that.
-    """
-    n = keyed.count()
-    ranges = min(MAX_RANGES, -(-n // range_rows))
-    if ranges < 2:
-        return []
-    want = min(n, DRAWN * ranges, MAX_DRAWN)
-    drawn = keyed if want == n else keyed.filter(F.rand(7) < 1.05 * want / n)
-    keys = sorted(map(tuple, drawn.select("_known", "_id", "_hash").collect()))
-    return [keys[len(keys) * r // ranges] for r in range(1, ranges)] if keys else []
-
-
-def _place(bounds: list[tuple[bool, int, int]]) -> Column:
-    """The number of the bounds that are at most (_known, _id, _hash), by binary search in a constant."""
-    constant = lambda xs: F.split(F.lit(",".join(map(str, xs))), ",").cast("array<bigint>")
-    known, ids, hashes = (constant(map(int, x)) for x in zip(*bounds, strict=True))
-    steps = [1 << b for b in range(len(bounds).bit_length() - 1, -1, -1)]
-    row = F.struct(F.col("_known").cast("bigint").alias("k"), F.col("_id").alias("i"), F.col("_hash").alias("h"))
-
-    def step(at, size):
-        to = (at + size - 1).cast("int")
-        bound = F.struct(F.get(known, to).alias("k"), F.get(ids, to).alias("i"), F.get(hashes, to).alias("h"))
-        return F.when((at + size <= len(bounds)) & (bound <= row), at + size).otherwise(at)
-
-    return F.aggregate(F.array(*[F.lit(x) for x in steps]), F.lit(0), step).cast("bigint")
-
-
-def _keyed(documents: DataFrame) -> DataFrame:
+def add_key(documents: DataFrame) -> DataFrame:
     docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    return docs.withColumns({"_known": F.col("doc_id").isNotNull(), "_id": F.coalesce("doc_id", F.lit(0).cast("bigint")), "_hash": F.xxhash64("text")})
+    return docs.withColumns({"_known": F.col("doc_id").isNotNull().cast("bigint"), "_id": F.coalesce("doc_id", F.lit(0).cast("bigint")), "_hash": F.xxhash64("text")})
 
 
 def in_ranges(documents: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
@@ -156,18 +125,12 @@ def in_ranges(documents: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
 
     Rows equal in doc_id and text that would fill ranges are one row, of which ``_n`` tells how many there are.
     """
-    keyed = _keyed(documents)
-    drawn = _bounds(keyed, range_rows)
-    # a key that is two bounds or more gets a range of its own
-    heavy = sorted({a for a, b in zip(drawn, drawn[1:], strict=False) if a == b})
-    after = [(k, i, h + 1) if h < 2**63 - 1 else (k, i + 1, -(2**63)) for k, i, h in heavy]
-    bounds = sorted({*drawn, *after})
-    placed = keyed.withColumn("_range", _place(bounds) if bounds else F.lit(0).cast("bigint")).withColumn("_n", F.lit(1).cast("bigint"))
-    if heavy:
-        of = F.array_contains(F.split(F.lit(",".join(str(bounds.index(x) + 1) for x in heavy)), ",").cast("array<bigint>"), F.col("_range"))
+    placed, heavy = ranges.in_ranges(documents, add_key, ["_known", "_id", "_hash"], range_rows)
+    placed = placed.withColumn("_n", F.lit(1).cast("bigint"))
+    if heavy is not None:
         same = ["_range", "doc_id", "_known", "_hash"]
-        merged = placed.filter(of).groupBy(*same).agg(F.min("text").alias("text"), F.count(F.lit(1)).alias("_n"))
-        placed = placed.filter(~of).select(*merged.columns).unionByName(merged)
+        merged = placed.filter(heavy).groupBy(*same).agg(F.min("text").alias("text"), F.count(F.lit(1)).alias("_n"))
+        placed = placed.filter(~heavy).select(*merged.columns).unionByName(merged)
     return placed.select("doc_id", "text", "_known", "_hash", "_range", "_n")
 
 

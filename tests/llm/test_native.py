@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from nearfield.llm import mixing, quality_rules, winnowing
+from nearfield.llm import mixing, quality_rules, ranges, winnowing
 from nearfield.llm.queries import oracle_sql, queries
 from tests.oracle import assert_same, connect
 
@@ -94,14 +94,40 @@ def test_mix_meets_targets(spark):
     for s in want:
         assert math.isclose(want[s], target[s], rel_tol=1e-12)
         assert abs(taken[s] - target[s]) <= max(60, 0.02 * target[s]), (s, taken[s], target[s])
-    again = mixing.plan_copies(df.repartition(7)).collect()
-    assert sorted(map(tuple, got), key=repr) == sorted(map(tuple, again), key=repr)
+    for again in (mixing.plan_copies(df.repartition(7)), mixing.plan_copies(df, range_rows=40)):
+        assert sorted(map(tuple, got), key=repr) == sorted(map(tuple, again.collect()), key=repr)
+    mixed = Counter(map(tuple, mixing.mix(df, range_rows=40).collect()))
+    total = sum(r.copies for r in got)
+    assert sum(mixed.values()) == total and mixed == Counter(map(tuple, mixing.mix(df).collect()))
+
+
+@pytest.mark.parametrize("case", ["one id", "null ids", "one row"])
+def test_mix_splits_a_hot_source(spark, case):
+    doc_id = {"one id": "7", "null ids": "null", "one row": "7"}[case]
+    df = spark.range(6000).selectExpr(f"cast({doc_id} AS bigint) AS doc_id", "'same words here' AS text" if case == "one row" else "concat('same words ', id) AS text", "if(id % 50 = 0, 'other', 'hot') AS source")
+    got = mixing._groups(df.withColumn("own", F.col("text")), 17, (1, 2, 3), 3, ("own",), 200).cache()
+    assert got.agg(F.sum("_n")).first()[0] == 6000
+    assert got.count() == 6000 if case != "one row" else got.count() < 500
+    placed = sorted(p for r in got.filter("source = 'hot'").collect() for p in range(r._last - r._n + 1, r._last + 1))
+    assert placed == list(range(1, 5881))
+    copies = mixing.plan_copies(df, range_rows=200)
+    assert copies.count() == 6000 and mixing.mix(df, range_rows=200).count() == copies.agg(F.sum("copies")).first()[0]
+
+
+def test_ranges_split_all_but_equal_keys(spark):
+    df = spark.range(20000).selectExpr("if(id % 3 = 0, 5, id) AS a", "id % 100 AS b", "id AS c")
+    placed, heavy = ranges.in_ranges(df, lambda x: x, ["a", "b", "c"], 500)
+    assert heavy is None and placed.groupBy("_range").count().agg(F.max("count")).first()[0] < 1200
+    placed, heavy = ranges.in_ranges(df, lambda x: x, ["a"], 500)
+    assert placed.filter(heavy).select("a").distinct().collect() == [(5,)]
+    ordered = placed.groupBy("_range").agg(F.min("a").alias("low"), F.max("a").alias("high")).orderBy("_range").collect()
+    assert all(x.high <= y.low for x, y in zip(ordered, ordered[1:], strict=False))
 
 
 def test_mix_rows(odd):
     mixed = mixing.mix(odd)
     assert mixed.columns == odd.columns
-    copies = mixing.plan_copies(odd).agg(F.sum("copies")).first()[0]
+    copies = mixing.plan_copies(odd.drop("size", "copies", "kept", "_ws")).agg(F.sum("copies")).first()[0]
     assert mixed.count() == copies > 0
     assert mixing.mix(odd.limit(0)).count() == 0 and mixing.plan_copies(odd.limit(0)).count() == 0
 
