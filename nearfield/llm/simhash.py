@@ -19,7 +19,7 @@ class from the start. Components come from large-star and small-star rounds over
 
 Defined results: null and word-free texts have fingerprint zero and link like any other; null doc_ids are allowed, and
 a component without any other id has a null id; repeated rows belong to one component; an empty table gives an empty
-result. Columns besides doc_id and text are passed over.
+result. Columns besides doc_id and text are passed over, whatever their names. Texts of any length are hashed whole.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut, ship
@@ -222,7 +222,9 @@ def linked(groups: list[np.ndarray], fps: np.ndarray) -> tuple[np.ndarray, np.nd
 
 def links(classes: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
     """(a, b): forest edges between different fingerprints that differ in three bits or fewer."""
-    counted = keyed(classes).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).filter("n > 1")
+    every = keyed(classes)
+    shared = every.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    counted = every.join(shared, "key")
     blocks = F.ceil(F.col("n") / group_rows).cast("int")
     met = (
         counted.withColumn("own", F.pmod(F.xxhash64("fp"), blocks).cast("int"))
@@ -262,7 +264,8 @@ def components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     """(node, root) of every node with an edge; root is the least node of its component.
 
     Large-star and small-star rounds; each is a minimum per node, combined before its shuffle, and a join on the node,
-    whose large partitions adaptive execution splits.
+    whose large partitions adaptive execution splits. Rounds grow with the logarithm of the longest path; a result that
+    still changes after ``max_rounds`` raises, since it would lose links.
     """
     now = cut(edges.select("a", "b").filter("a <> b"))
     mark = None
@@ -278,6 +281,8 @@ def components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
         if mark == tuple(state):
             break
         mark = tuple(state)
+    else:
+        raise RuntimeError(f"components still change after {max_rounds} rounds")
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
 
 
@@ -299,18 +304,23 @@ def digits(fp: Column) -> Column:
 def keep_one(documents: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
     """One row of each component, the one with the least doc_id, with the columns of ``documents``.
 
-    Of rows equal in doc_id and text one is kept. A row is found again by its id and the hash of its text.
+    Of rows equal in doc_id and text one is kept, the least by its other columns. A row is found again by its id and the
+    hash of its text. Only rows whose id and text come more than once are grouped; the others go through the join alone.
     """
     linked_rows = link_documents(documents, group_rows)
-    # ids before nulls, then the text's hash: the first of each component
-    first = linked_rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("k"))
-    keepers = first.select(F.col("k.doc_id").alias("_id"), F.col("k.text_hash").alias("_hash"))
-    own, place = unused("_text_hash", documents), unused("_place", documents)
+    # ids before nulls, then the text's hash: the first of each component, and how often it is there
+    known = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    counted = linked_rows.groupBy("root", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n"))
+    first = cut(counted.groupBy("root").agg(F.min(F.struct(known.alias("key"), "n")).alias("k")).select(F.col("k.key.doc_id").alias("_id"), F.col("k.key.text_hash").alias("_hash"), F.col("k.n").alias("_n")))
+    own = unused("_text_hash", documents)
     hashed = documents.withColumn(own, F.xxhash64("text"))
-    same = hashed["doc_id"].eqNullSafe(keepers["_id"]) & (hashed[own] == keepers["_hash"])
-    kept = hashed.join(keepers, same, "left_semi")
-    once = Window.partitionBy("doc_id", own).orderBy(F.lit(1))
-    return kept.withColumn(place, F.row_number().over(once)).filter(F.col(place) == 1).select(*documents.columns)
+
+    def kept(keepers: DataFrame) -> DataFrame:
+        return hashed.join(keepers, hashed["doc_id"].eqNullSafe(keepers["_id"]) & (hashed[own] == keepers["_hash"]), "left_semi")
+
+    single = kept(first.filter("_n = 1")).select(*documents.columns)
+    many = kept(first.filter("_n > 1")).groupBy("doc_id", own).agg(F.min(F.struct(*documents.columns)).alias("_row"))
+    return single.unionByName(many.select("_row.*"))
 
 
 def unused(name: str, df: DataFrame) -> str:
