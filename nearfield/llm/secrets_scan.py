@@ -2,14 +2,15 @@
 
 Three base patterns give spans that always stand. Further candidates are tokens of any length that look like keys; a
 network reads each candidate with its surrounding characters, a long one in overlapping windows, and the highest
-probability of its windows is the candidate's. It is trained on findings labelled here: the
-base findings of a bounded sample of texts and generated keys of common formats are positive; tokens of the sample that
-no base pattern covers, and generated identifiers of harmless kinds, are negative. A part of the findings is held back:
-on it the probability is calibrated by a logistic map, and the threshold is the highest that keeps MIN_RECALL.
+probability of its windows is the candidate's. It is trained on findings labelled here: the base findings of a bounded
+sample of texts and generated keys of common formats are positive; tokens of the sample that no base pattern covers and
+that don't look like keys, and generated identifiers of harmless kinds, are negative. A part of the findings is held
+back: on it the probability is calibrated by a logistic map, and the threshold is the highest that keeps MIN_RECALL.
 
 Defined results: a null text counts as empty; an empty text has no span. Texts are read whole; offsets count code
 points, ends are exclusive. Matches of a kind don't overlap. Candidates that overlap a base span are not added again.
-Repeated rows give equal rows. Only doc_id and text are read.
+Repeated rows give equal rows. Only doc_id and text are read, so that other columns, whatever their names, don't matter;
+an empty table gives an empty result and a network trained on generated findings alone.
 """
 
 from __future__ import annotations
@@ -17,9 +18,10 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Collection, Iterator
 from dataclasses import dataclass
-from itertools import islice
+from itertools import accumulate, islice
 
 import numpy as np
 import pyarrow as pa
@@ -59,8 +61,15 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """Spans of tokens outside the base spans."""
-    return [m.span() for m in CANDIDATE.finditer(text) if not any(s < m.end() and m.start() < e for s, _, e in base)]
+    """Spans of tokens that don't overlap the base spans, which are in order of start."""
+    starts = [s for s, _, _ in base]
+    upto = list(accumulate((e for _, _, e in base), max))
+    out = []
+    for m in CANDIDATE.finditer(text):
+        before = bisect_left(starts, m.end())  # base spans that begin before the token's end
+        if not before or upto[before - 1] <= m.start():
+            out.append(m.span())
+    return out
 
 
 def pieces(start: int, end: int) -> Iterator[tuple[int, int]]:
@@ -141,10 +150,11 @@ def generated(rng: np.random.Generator) -> list[tuple[str, str, str, int]]:
     return out
 
 
-def labelled_pieces(texts: list[str], seed: int = 11) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def labelled_pieces(texts: list[str], seed: int = 11, unsure: Collection[str] = ()) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(codes, extra features, label, number of the finding) of the windows of all findings to learn from.
 
-    Of a key within a longer token the window that holds most of it is there, since the others may hold none.
+    Of a key within a longer token the window that holds most of it is there, since the others may hold none. Tokens in
+    ``unsure`` aren't there.
     """
     codes, more, y, of = [], [], [], []
 
@@ -168,8 +178,9 @@ def labelled_pieces(texts: list[str], seed: int = 11) -> tuple[np.ndarray, np.nd
             add(t, start, end, 1, start, end)
             n += 1
         for start, end in candidates(t, base):
-            add(t, start, end, 0, start, end)
-            n += 1
+            if t[start:end] not in unsure:
+                add(t, start, end, 0, start, end)
+                n += 1
     for a, core, b, label in generated(np.random.default_rng(seed)):
         text = a + core + b
         start, end = next((m.span() for m in CANDIDATE.finditer(text) if m.start() <= len(a) and len(a) + len(core) <= m.end()), (len(a), len(a) + len(core)))
@@ -186,8 +197,19 @@ def labelled_findings(texts: list[str], seed: int = 11) -> tuple[np.ndarray, np.
 
 
 def fit(texts: list[str], epochs: int = EPOCHS, seed: int = 11) -> CharNetwork:
+    """A network that takes the tokens of ``texts`` outside base spans as harmless, but for those that look like keys.
+
+    Such tokens are found by a first network, which learns from base findings and generated ones only; what it takes for a
+    secret may be one that no base pattern knows, and teaches the second network nothing.
+    """
+    first = fit_pieces(*labelled_pieces([t[s:e] for t in texts for s, _, e in base_spans(t)], seed), epochs, seed)
+    tokens = {t[s:e] for t in texts for s, e in candidates(t, base_spans(t))}
+    unsure = {t for t, spans in zip(tokens, scan([*tokens], first), strict=True) if spans}
+    return fit_pieces(*labelled_pieces(texts, seed, unsure), epochs, seed)
+
+
+def fit_pieces(codes: np.ndarray, more: np.ndarray, y: np.ndarray, of: np.ndarray, epochs: int, seed: int) -> CharNetwork:
     """A network with calibrated probability and a threshold that keeps MIN_RECALL on the findings held back."""
-    codes, more, y, of = labelled_pieces(texts, seed)
     rng = np.random.default_rng(seed)
     held_back = rng.permutation(of[-1] + 1) < (of[-1] + 1) // 4  # by finding, so that all windows of one are on the same side
     back, learn = np.flatnonzero(held_back[of]), np.flatnonzero(~held_back[of])
