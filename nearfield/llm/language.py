@@ -7,7 +7,8 @@ landmark matrix, normalised, times coefficients.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0; if there is nothing to learn from, every
 text is ``und``. Whole texts are read, in slices of bounded size whose n-grams are united. Repeated rows and ids give
-equal rows. Only doc_id and text are read for a prediction.
+equal rows; an id that has two languages teaches nothing. An empty table gives an empty result. Only doc_id and text are
+read for a prediction, so that other columns, whatever their names, don't matter.
 """
 
 from __future__ import annotations
@@ -23,13 +24,16 @@ from pyspark.sql import functions as F
 from ..session import ship
 from .learning import MAX_SAMPLE_BYTES, remainder, sample_labelled
 
-#: Training texts and landmarks for each language.
+#: Training texts and landmarks for each language; with more languages than MAX_LANDMARKS / 16 each has fewer, but one.
 TRAIN_PER_LANGUAGE = 300
 LANDMARKS_PER_LANGUAGE = 16
+MAX_LANDMARKS = 1024
 RIDGE = 1e-3
 #: Characters looked at in one go, and cells of a batch's presence matrix.
 SLICE = 1 << 20
 BATCH_CELLS = 1 << 22
+#: Cells of the landmark matrix that a worker holds at once.
+DENSE_CELLS = 1 << 25
 UNDETERMINED = "und"
 
 _ASCII = np.arange(128, dtype=np.int64)
@@ -53,24 +57,48 @@ def ngrams(text: str) -> np.ndarray:
 
 @dataclass
 class KernelModel:
+    """Landmarks as sorted lists of places in the vocabulary; their matrix is made where it is used, in bounded parts."""
+
     languages: list[str]
     vocabulary: np.ndarray  # n-grams of the landmarks, sorted
-    landmarks: np.ndarray  # landmark by n-gram, presence over the root of the landmark's n-gram count
+    landmarks: list[np.ndarray]  # places of each landmark's n-grams
     coefficients: np.ndarray  # landmark by language
+    _whole: np.ndarray | None = None
+
+    def __getstate__(self):
+        return {**self.__dict__, "_whole": None}
+
+    def part(self, low: int, high: int) -> np.ndarray:
+        """Landmark by n-gram, presence over the root of the landmark's n-gram count, of a range of the vocabulary."""
+        out = np.zeros((len(self.landmarks), high - low), np.float32)
+        for k, places in enumerate(self.landmarks):
+            a, b = np.searchsorted(places, [low, high])
+            out[k, places[a:b] - low] = 1 / np.sqrt(len(places))
+        return out
+
+    def parts(self) -> Iterator[tuple[int, int, np.ndarray]]:
+        n, step = len(self.vocabulary), max(1, DENSE_CELLS // len(self.landmarks))
+        if n > step:
+            yield from ((at, min(n, at + step), self.part(at, min(n, at + step))) for at in range(0, n, step))
+            return
+        if self._whole is None:
+            self._whole = self.part(0, n)
+        yield 0, n, self._whole
 
     def kernel(self, grams: list[np.ndarray]) -> np.ndarray:
-        rows = []
-        step = max(1, BATCH_CELLS // max(len(self.vocabulary), 1))
-        for at in range(0, len(grams), step):
-            part = grams[at : at + step]
-            present = np.zeros((len(part), len(self.vocabulary)), np.float32)
-            for i, g in enumerate(part):
-                where = np.searchsorted(self.vocabulary, g)
-                where[where == len(self.vocabulary)] = 0
-                present[i, where[self.vocabulary[where] == g]] = 1
-            norm = np.sqrt([max(len(g), 1) for g in part]).astype(np.float32)
-            rows.append((present @ self.landmarks.T) / norm[:, None])
-        return np.concatenate(rows)
+        out = np.zeros((len(grams), len(self.landmarks)), np.float32)
+        for low, high, dense in self.parts():
+            vocabulary = self.vocabulary[low:high]
+            step = max(1, BATCH_CELLS // len(vocabulary))
+            for at in range(0, len(grams), step):
+                part = grams[at : at + step]
+                present = np.zeros((len(part), len(vocabulary)), np.float32)
+                for i, g in enumerate(part):
+                    where = np.searchsorted(vocabulary, g)
+                    where[where == len(vocabulary)] = 0
+                    present[i, where[vocabulary[where] == g]] = 1
+                out[at : at + step] += present @ dense.T
+        return out / np.sqrt([max(len(g), 1) for g in grams]).astype(np.float32)[:, None]
 
     def scores(self, grams: list[np.ndarray]) -> np.ndarray:
         return self.kernel(grams) @ self.coefficients
@@ -83,17 +111,15 @@ def fit(rows: list[tuple[str, str]], landmarks_per_language: int = LANDMARKS_PER
         return None
     grams = [ngrams(t) for t, _ in rows]
     marks: list[int] = []
+    each = max(1, min(landmarks_per_language, MAX_LANDMARKS // len(languages)))
     for lang in languages:
         own = sorted((i for i, r in enumerate(rows) if r[1] == lang), key=lambda i: -len(grams[i]))
         # every k-th by richness, so that short and long texts both serve as landmarks
-        marks += own[:: max(1, len(own) // landmarks_per_language)][:landmarks_per_language]
+        marks += own[:: max(1, len(own) // each)][:each]
     vocabulary = np.unique(np.concatenate([grams[i] for i in marks]))
-    landmarks = np.zeros((len(marks), len(vocabulary)), np.float32)
-    for k, i in enumerate(marks):
-        landmarks[k, np.searchsorted(vocabulary, grams[i])] = 1 / np.sqrt(len(grams[i]))
-    model = KernelModel(languages, vocabulary, landmarks, np.zeros((len(marks), len(languages)), np.float32))
+    model = KernelModel(languages, vocabulary, [np.searchsorted(vocabulary, grams[i]) for i in marks], np.zeros((len(marks), len(languages)), np.float32))
     k_nm = model.kernel(grams).astype(np.float64)
-    k_mm = (landmarks @ landmarks.T).astype(np.float64)
+    k_mm = model.kernel([grams[i] for i in marks]).astype(np.float64)
     y = np.array([[float(r[1] == lang) for lang in languages] for r in rows])
     weight = 1 / (y @ y.sum(0))  # each language weighs the same
     weight *= len(rows) / weight.sum()

@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 #: Texts longer than this aren't taken into a sample, so that a sample's bytes are bounded as well as its rows.
 MAX_SAMPLE_BYTES = 65536
-#: Most different label values that are learned; the most frequent ones.
-MAX_LABELS = 256
 
 
 def remainder(doc_id: Column, n: int) -> Column:
@@ -20,20 +18,23 @@ def sample_labelled(documents: DataFrame, labelled: DataFrame, label: str, per_l
     """(text, label) rows for training: about ``per_label`` for each label value, by a hash of the id.
 
     ``labelled`` has doc_id and the label column, without the rows that must stay unseen. At most 1.25 times
-    ``per_label`` rows of each value are drawn; the ids drawn are the only data that is broadcast. Null texts are left out.
+    ``per_label`` ids of each value are drawn; they are the only data that is broadcast. Null texts are left out. An id
+    that has two labels teaches nothing; each text of an id that comes more than once in ``documents`` gets its label,
+    up to twice as many texts as ids in all.
     """
-    labelled = labelled.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull())
-    counts = labelled.groupBy(label).count().orderBy(F.desc("count"), label).limit(MAX_LABELS).collect()
-    if not counts:
-        return []
-    want = {r[0]: per_label if isinstance(per_label, int) else per_label.get(r[0], 0) for r in counts}
-    drawn = F.lit(False)
-    for r in counts:
-        part = min(1.0, want[r[0]] / r["count"])
-        drawn = drawn | ((F.col(label) == F.lit(r[0])) & (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(part * (1 << 30))))
-    most = int(1.25 * sum(min(want[r[0]], r["count"]) for r in counts)) + 1
-    ids = labelled.filter(drawn).select("doc_id", label).limit(most).cache()
+    known = labelled.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(label).alias(label), F.max(label).alias("_other"))
+    known = known.filter(F.col(label) == F.col("_other")).select("doc_id", label)
+    counts = known.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
+    want = F.lit(per_label)
+    if isinstance(per_label, dict):
+        want = F.lit(0)
+        for value, n in per_label.items():
+            want = F.when(F.col(label) == F.lit(value), n).otherwise(want)
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
+    drawn = known.join(counts, label).withColumn("_want", want).filter(place < F.col("_want") / F.col("_n") * (1 << 30)).select("doc_id", label, "_want", place.alias("_place")).cache()
+    most = int(1.25 * (drawn.select(label, "_want").distinct().agg(F.sum("_want")).first()[0] or 0)) + 1
+    ids = drawn.orderBy("_place", "doc_id").limit(most).select("doc_id", label)
     texts = documents.select("doc_id", "text").filter(F.col("text").isNotNull() & (F.octet_length("text") <= MAX_SAMPLE_BYTES))
-    rows = texts.join(F.broadcast(ids), "doc_id").select("doc_id", "text", label).limit(2 * most).collect()
-    ids.unpersist()
+    rows = texts.join(F.broadcast(ids), "doc_id").select("doc_id", "text", label).orderBy(F.xxhash64("doc_id", "text"), "doc_id").limit(2 * most).collect()
+    drawn.unpersist()
     return [(r[1], r[2]) for r in sorted(rows, key=lambda r: (r[0], r[1]))]
