@@ -10,7 +10,8 @@ Every unit that is not in the table, so each at least once, is checked against t
 Arrow batch, and so is one whole text of each batch; a difference raises. Decoding is the library's own.
 
 Defined results: a null text counts as empty; an empty text is the end id alone and decodes to an empty text. Texts of
-any length are encoded whole. Rows keep their order and number.
+any length are encoded whole. Rows keep their order and number, repeated ones give equal rows, an empty table gives an
+empty result. Only doc_id and text are read, so that other columns, whatever their names, don't matter.
 """
 
 from __future__ import annotations

@@ -2,12 +2,14 @@
 
 Every byte of a text is looked up in a learned table, learned filters run over all windows of ``TAPS`` bytes, and the
 rectified responses are max-pooled over chunks of two blocks, each chunk overlapping the next by one block. The chunks
-cover the whole text. Mean and maximum of the chunks' responses, and the share of chunks that is blank, go through a
+cover the whole text. Mean and maximum of the chunks' responses, and the logarithm of the number of blocks, go through a
 small dense layer to one probability.
 
 Defined results: a null text counts as empty; an empty text is one blank chunk and gets the probability the network
 has for it. Without labels of both kinds to learn from, every score is the share of label 1 (0.5 without any label).
-Long texts are read in pieces of bounded size. Only doc_id and text are read for a score.
+Long texts are read in pieces of bounded size. Repeated rows get equal scores; an id with two labels teaches nothing. An
+empty table gives an empty result. Only doc_id and text are read for a score, so that other columns, whatever their
+names, don't matter.
 """
 
 from __future__ import annotations

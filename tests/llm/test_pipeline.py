@@ -30,3 +30,13 @@ def test_stages(spark, sf_dir):
 
 def test_run(spark, sf_dir):
     assert corpus_pipeline.run(spark, sf_dir).count() > 0
+
+
+def test_run_on_odd_and_empty_tables(spark, tmp_path):
+    words = " ".join(f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(80))
+    rows = [(1, words, "en", "s", 1), (1, words, "en", "s", 1), (2, None, None, None, None), (3, "", "en", None, 0), (None, words + " other end of it", "en", None, 5), (4, " ".join(f"w{i}x" for i in range(30000)), "en", "t", 7)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    for k, part in enumerate((rows, [])):
+        spark.createDataFrame(part, schema).write.parquet(f"{tmp_path}/{k}/documents.parquet")
+    assert {r.doc_id for r in corpus_pipeline.run(spark, f"{tmp_path}/0").collect()} <= {1, 4, None}
+    assert corpus_pipeline.run(spark, f"{tmp_path}/1").count() == 0
