@@ -1,24 +1,26 @@
-"""Proximity graphs: exact neighbour graphs, robust pruning, incremental building, and four ways to search them.
+"""Proximity graphs: exact neighbour graphs, robust pruning, incremental building, and the ways to search them.
 
 The numpy part works on one shard in memory; shards are made so that one fits a worker. A search takes a pool of at most
-``L`` candidates per query, expands the best ones, and ranks by exact distance what it has read; the four modes differ
-in what is expanded when: ``beam`` up to ``width`` nodes a round, ``page`` also all rows that share a page with them,
-``pipe`` one at a time with a width that adapts, ``batch`` many queries in step. With a pool as large as the shard, and a
-connected graph, each finds the exact neighbours.
+``L`` candidates per query, expands the best ones, and ranks by exact distance what it has read; the modes differ in
+what is expanded when: ``beam`` up to ``width`` nodes a round, ``page`` also all rows that share a page with them,
+``pipe`` one more for each that is done, by a policy of widths, ``batch`` as beam, all queries of a shard in step with
+one matrix operation a round, ``fast`` from a single start, without a list of what was read. With a pool as large as the
+shard each finds the exact neighbours: every part of the graph that can't be reached from the medoid has an entry node.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import time
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .knn import exact_knn, matrix, query_blocks, top_k
+from .knn import knn_all, matrix, routed, top_k
 
 SLACK = 1.3
 ALPHA_STEP = 1.2
@@ -28,10 +30,17 @@ ALPHA_STEP = 1.2
 
 
 def knn_graph(vectors: DataFrame, k: int) -> DataFrame:
-    """(src, dst, rank, dist): the ``k`` exact nearest other rows of every row, the queries in blocks."""
-    queries = vectors.select(F.col("id").alias("qid"), F.col("vec").alias("qvec"))
-    found = exact_knn(vectors, queries, k + 1).filter("qid <> id")
-    return top_k(found.select("qid", "id", "dist"), k).select(F.col("qid").alias("src"), F.col("id").alias("dst"), "rank", "dist")
+    """(src, dst, rank, dist): the ``k`` exact nearest other rows of every row, found on the executors."""
+    return knn_all(vectors, k).select(F.col("qid").alias("src"), F.col("id").alias("dst"), "rank", "dist")
+
+
+def shard_graph(shards: DataFrame, k: int) -> DataFrame:
+    """(shard, src, dst, rank, dist): the ``k`` exact nearest other rows in the same shard, of (shard, id, vec)."""
+    rows = shards.select(F.col("shard").cast("long").alias("cell"), "id", "vec")
+    found = routed(rows, rows.select("cell", F.col("id").alias("qid"), F.col("vec").alias("qvec")), k + 1).filter("qid <> id")
+    w = Window.partitionBy("cell", "qid").orderBy("dist", "id")
+    ranked = found.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k)
+    return ranked.select(F.col("cell").alias("shard"), F.col("qid").alias("src"), F.col("id").alias("dst"), "rank", "dist")
 
 
 def reverse_edges(edges: DataFrame) -> DataFrame:
@@ -64,28 +73,27 @@ def merge_shards(edges: DataFrame, degree: int, ordered: bool = True) -> DataFra
 def robust_prune(dist: np.ndarray, among: np.ndarray, degree: int, alpha: float, most: int = 750) -> list[int]:
     """Places of the candidates that stay, of candidates in order of ``dist``; ``among`` are distances between them.
 
-    A candidate is held back by one taken before it that is nearer to it than it is to the node, by a factor of alpha,
-    which rises from 1 in steps.
+    Candidate j shades candidate i by dist[i] / among[j, i]. For a factor that rises from 1 to alpha in steps, the first
+    candidate in order that no taken one before it shades by more than the factor is taken, until ``degree`` are.
     """
     n = min(len(dist), most)
-    held = np.zeros(n)
-    out: list[int] = []
-    now = 1.0
-    while now <= alpha + 1e-9 and len(out) < degree:
-        for i in range(n):
-            if len(out) >= degree:
+    with np.errstate(divide="ignore", invalid="ignore"):
+        shade = np.where(among[:n, :n] > 0, dist[None, :n] / among[:n, :n], np.inf)
+    shade[np.tril_indices(n)] = 0  # only what comes before shades
+    deepest, out = np.zeros(n), []
+    free = np.ones(n, bool)
+    factor = 1.0
+    while factor <= alpha + 1e-9:
+        at = 0
+        while len(out) < degree:
+            open_to = np.flatnonzero(free[at:] & (deepest[at:] <= factor))
+            if not len(open_to):
                 break
-            if held[i] > now:
-                continue
-            out.append(i)
-            held[i] = np.inf
-            rest = np.arange(i + 1, n)
-            rest = rest[held[rest] <= alpha]
-            if len(rest):
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    f = np.where(among[i, rest] > 0, dist[rest] / among[i, rest], np.inf)
-                held[rest] = np.maximum(held[rest], f)
-        now *= ALPHA_STEP
+            at += int(open_to[0])
+            out.append(at)
+            free[at] = False
+            deepest = np.maximum(deepest, shade[at])
+        factor *= ALPHA_STEP
     return out
 
 
@@ -116,20 +124,53 @@ class Shard:
         if not self.entries and len(self.ids):
             self.entries = [medoid_of(self.vecs, self.ids)]
 
+    def table(self) -> np.ndarray:
+        """The neighbour lists as a matrix, filled with -1."""
+        out = np.full((len(self.nbrs), max(1, max(map(len, self.nbrs), default=1))), -1, np.int64)
+        for k, x in enumerate(self.nbrs):
+            out[k, : len(x)] = x
+        return out
+
+    def cover(self) -> None:
+        """Add the lowest node of each part of the graph that no entry leads to, as an entry."""
+        links = self.table()
+        seen = np.zeros(len(self.ids), bool)
+        front = np.array(self.entries, np.int64)
+        while True:
+            while len(front):
+                seen[front] = True
+                out = np.unique(links[front])
+                out = out[out >= 0]
+                front = out[~seen[out]]
+            rest = np.flatnonzero(~seen)
+            if not len(rest):
+                return
+            self.entries.append(int(rest[0]))
+            front = rest[:1]
+
 
 def medoid_of(vecs: np.ndarray, ids: np.ndarray) -> int:
     d = _l2(vecs.mean(0), vecs)
     return int(np.lexsort((ids, d))[0])
 
 
-def search_shard(shard: Shard, query: np.ndarray, k: int, pool: int, width: int = 4, mode: str = "beam", table: np.ndarray | None = None, starts: list[int] | None = None, deleted: np.ndarray | None = None, max_rounds: int | None = None, stats: Stats | None = None):
+#: Width of the pipeline by a fifth of the place of the first node that isn't expanded; fixed values.
+STATIC_WIDTHS = (4, 4, 8, 8, 16, 16, 24, 24, 32)
+#: Share of reads that may be wasted while the pipeline widens.
+WASTE = 0.1
+
+
+def search_shard(shard: Shard, query: np.ndarray, k: int, pool: int, width: int = 4, mode: str = "beam", table: np.ndarray | None = None, starts: list[int] | None = None, deleted: np.ndarray | None = None, max_rounds: int | None = None, stats: Stats | None = None, policy: str = "adaptive", deadline: float | None = None):
     """(places, distances) of up to ``k`` rows nearest to ``query``, in order of (distance, id).
 
     ``table`` scores candidates by PQ codes, otherwise exact distances do. ``deleted`` marks rows that are passed through
-    but not returned; the pool grows so that ``pool`` live rows are kept. ``max_rounds`` stops early.
+    but not returned; the pool grows so that ``pool`` live rows are kept. ``max_rounds`` and ``deadline``, in seconds, stop
+    early. ``policy`` is how a pipe widens: "adaptive" by one a round from 4, once the search has come near its goal and
+    while few reads are wasted, which are those that had left the pool; "static" by STATIC_WIDTHS; "naive" at once.
     """
-    stats = stats or Stats()
-    starts = list(dict.fromkeys(starts or shard.entries))
+    stats = stats if stats is not None else Stats()
+    began = time.perf_counter()
+    starts = list(dict.fromkeys(starts or shard.entries))[: 1 if mode == "fast" else None]
     if not starts:
         return np.empty(0, np.int64), np.empty(0)
 
@@ -147,12 +188,15 @@ def search_shard(shard: Shard, query: np.ndarray, k: int, pool: int, width: int
     place, score, done = place[order], score[order], done[order]
     read: list[np.ndarray] = []
     was_read = np.zeros(len(shard.ids), bool)
-    step, rounds = (4 if mode == "pipe" else width), 0
-    while not done.all() and (max_rounds is None or rounds < max_rounds):
+    step, rounds, wasted = (width if mode != "pipe" or policy == "naive" else 4), 0, 0
+    while not done.all() and (max_rounds is None or rounds < max_rounds) and (deadline is None or time.perf_counter() - began < deadline):
         rounds += 1
-        take = np.flatnonzero(~done)[: 1 if mode == "pipe" and rounds == 1 else step]
-        if mode == "pipe" and take[0] >= 5 and step < width:
-            step += 1  # the pipeline widens once the search has come near its goal
+        waiting = np.flatnonzero(~done)
+        if mode == "pipe" and policy == "static":
+            step = min(width, STATIC_WIDTHS[min(int(waiting[0]) // 5, len(STATIC_WIDTHS) - 1)])
+        elif mode == "pipe" and policy == "adaptive" and waiting[0] >= 5 and step < width and wasted <= WASTE * max(stats.reads, 1):
+            step += 1
+        take = waiting[:step]
         done[take] = True
         now = place[take]
         stats.hops += len(now)
@@ -180,14 +224,118 @@ def search_shard(shard: Shard, query: np.ndarray, k: int, pool: int, width: int
             live = np.cumsum(~deleted[place])
             size = int(np.searchsorted(live, pool) + 1)
         place, score, done = place[:size], score[:size], done[:size]
-    found = np.concatenate(read)
+        wasted += int((~np.isin(now, place)).sum())
+    if mode == "fast" and table is None:
+        found, d = place[:pool], score[:pool]
+        if deleted is not None:
+            found, d = found[~deleted[found]], d[~deleted[found]]
+        return found[:k], d[:k]
+    found = np.concatenate(read) if read else np.empty(0, np.int64)
     if deleted is not None:
         found = found[~deleted[found]]
     d = _l2(query, shard.vecs[found])
+    stats.comparisons += len(found) if table is not None else 0
     order = np.lexsort((shard.ids[found], d))[:k]
     return found[order], d[order]
 
 
+def search_batch(shard: Shard, queries: np.ndarray, k: int, pool: int, width: int = 4, tables: np.ndarray | None = None, starts: np.ndarray | None = None, deleted: np.ndarray | None = None, max_rounds: int | None = None, stats: Stats | None = None, links: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+    """``search_shard`` in beam mode for many queries in step: a round expands up to ``width`` nodes of every query.
+
+    ``tables`` are the queries' look-up tables and ``starts`` their own start nodes, filled with -1. Queries go in parts
+    whose matrices have at most BATCH_CELLS cells.
+    """
+    stats = stats if stats is not None else Stats()
+    links = shard.table() if links is None else links
+    n, dim = len(shard.ids), shard.vecs.shape[1] if shard.vecs.ndim == 2 else 0
+    if not n:
+        return [(np.empty(0, np.int64), np.empty(0))] * len(queries)
+    most = max(1, BATCH_CELLS // (width * links.shape[1] * max(dim, 1) + n + 1))
+    out: list[tuple[np.ndarray, np.ndarray]] = []
+    for at in range(0, len(queries), most):
+        part = slice(at, at + most)
+        out += _in_step(shard, queries[part], k, min(pool, n), width, None if tables is None else tables[part], None if starts is None else starts[part], deleted, max_rounds, stats, links)
+    return out
+
+
+#: Cells of the matrices of a part of the queries that advance in step.
+BATCH_CELLS = 1 << 23
+
+
+def _in_step(shard, queries, k, pool, width, tables, starts, deleted, max_rounds, stats, links):
+    n, every = len(queries), np.arange(len(queries))
+
+    def rough(q: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Scores of flat pairs of query and place."""
+        stats.comparisons += len(at)
+        if tables is None:
+            d = shard.vecs[at] - queries[q]
+            return np.einsum("ij,ij->i", d, d)
+        return tables[q[:, None], np.arange(tables.shape[1])[None], shard.codes[at]].sum(1)
+
+    if starts is None:
+        starts = np.tile(np.array(list(dict.fromkeys(shard.entries)))[None], (n, 1))
+    # a place beyond the shard stands for nothing, with an infinite score
+    none = len(shard.ids)
+    ids = np.append(shard.ids, np.iinfo(np.int64).max)
+    gone = np.append(deleted if deleted is not None else np.zeros(none, bool), True)
+    seen = np.zeros((n, none + 1), bool)
+    seen[:, none] = True
+    read = np.zeros((n, none + 1), bool)
+    place = np.where(starts < 0, none, starts)
+    score = np.full(place.shape, np.inf)
+    q, c = np.nonzero(place < none)
+    score[q, c] = rough(q, place[q, c])
+    seen[every[:, None], place] = True
+    done = place == none
+    rounds = 0
+    while not done.all() and (max_rounds is None or rounds < max_rounds):
+        order = np.lexsort((ids[place], score), axis=1) if rounds == 0 else np.argsort(done, axis=1, kind="stable")[:, :0]
+        if rounds == 0:
+            place, score, done = (np.take_along_axis(x, order, 1) for x in (place, score, done))
+        rounds += 1
+        take = ~done & (np.cumsum(~done, 1) <= width)
+        q, c = np.nonzero(take)
+        done |= take
+        now = place[q, c]
+        stats.hops += len(now)
+        stats.reads += len(now)
+        read[q, now] = True
+        new = links[now]
+        flat_q, flat = np.repeat(q, new.shape[1]), new.ravel()
+        flat_q, flat = flat_q[flat >= 0], flat[flat >= 0]
+        fresh = ~seen[flat_q, flat]
+        pair = np.unique(flat_q[fresh] * (none + 1) + flat[fresh])
+        flat_q, flat = np.divmod(pair, none + 1)
+        if not len(flat):
+            continue
+        seen[flat_q, flat] = True
+        each = np.bincount(flat_q, minlength=n)
+        column = np.arange(len(flat_q)) - np.repeat(np.cumsum(each) - each, each)
+        more = np.full((n, int(each.max())), none)
+        more_score = np.full(more.shape, np.inf)
+        more[flat_q, column] = flat
+        more_score[flat_q, column] = rough(flat_q, flat)
+        place, score, done = np.concatenate([place, more], 1), np.concatenate([score, more_score], 1), np.concatenate([done, more == none], 1)
+        order = np.lexsort((ids[place], score), axis=1)
+        place, score, done = (np.take_along_axis(x, order, 1) for x in (place, score, done))
+        if deleted is None:
+            place, score, done = place[:, :pool], score[:, :pool], done[:, :pool]
+        else:
+            over = np.cumsum(~gone[place], 1) - ~gone[place] >= pool  # after the last live row that fits
+            place, score, done = np.where(over, none, place), np.where(over, np.inf, score), done | over
+            last = max(1, int((place < none).sum(1).max()))
+            place, score, done = place[:, :last], score[:, :last], done[:, :last]
+    out = []
+    for i in range(n):
+        found = np.flatnonzero(read[i, :none])
+        found = found[~gone[found]]
+        d = _l2(queries[i], shard.vecs[found])
+        order = np.lexsort((shard.ids[found], d))[:k]
+        out.append((found[order], d[order]))
+    return out
+
+
 def prune_node(shard: Shard, node: int, candidates: np.ndarray, degree: int, alpha: float, saturate: bool = True) -> np.ndarray:
     """The neighbours a node gets of ``candidates``; filled up with the nearest where ``saturate`` is set and alpha is over 1."""
     candidates = np.unique(candidates[candidates != node])
@@ -209,30 +357,39 @@ def prune_node(shard: Shard, node: int, candidates: np.ndarray, degree: int, alp
 def build_shard(ids: np.ndarray, vecs: np.ndarray, degree: int, pool: int, alpha: float = 1.2, saturate: bool = True, seed: int = 0) -> Shard:
     """Two passes over all nodes (alpha 1, then ``alpha``): search from the medoid, prune what was read, link both ways.
 
-    Lists over SLACK * degree are pruned as they arise, and all to ``degree`` at the end.
+    Nodes go in batches that double up to a fiftieth of the shard: a batch is searched in step in the graph as it is, then
+    its lists and the links back are made. Lists over SLACK * degree are pruned as they arise, all to ``degree`` at the end.
     """
     n = len(ids)
     rng = np.random.default_rng(seed)
     shard = Shard(ids, vecs, [np.empty(0, np.int64)] * n)
     if n < 2:
         return shard
-    for a in (1.0, alpha):
-        for node in rng.permutation(n):
-            read: list[int] = []
-            found, _ = search_shard(shard, vecs[node], n, pool, width=4)
-            read = found[found != node]
-            keep = prune_node(shard, node, np.concatenate([read, shard.nbrs[node]]), degree, a, saturate)
-            shard.nbrs[node] = keep
-            for other in keep:
-                if node not in shard.nbrs[other]:
-                    both = np.append(shard.nbrs[other], node)
-                    shard.nbrs[other] = prune_node(shard, other, both, degree, a, saturate) if len(both) > SLACK * degree else both
-    for node in range(n):
-        if len(shard.nbrs[node]) > degree:
-            shard.nbrs[node] = prune_node(shard, node, shard.nbrs[node], degree, alpha, saturate)
+    for turn, a in enumerate((1.0, alpha)):
+        order, at, size = rng.permutation(n), 0, 1 if turn == 0 else max(1, n // 50)
+        while at < n:
+            batch = order[at : at + size]
+            at, size = at + size, min(2 * size, max(1, n // 50))
+            new: dict[int, list[int]] = {}
+            for node, (found, _) in zip(batch, search_batch(shard, vecs[batch], n, pool), strict=True):
+                shard.nbrs[node] = prune_node(shard, node, np.concatenate([found, shard.nbrs[node]]), degree, a, saturate)
+                for other in shard.nbrs[node]:
+                    new.setdefault(int(other), []).append(int(node))
+            for other, back in new.items():
+                both = np.union1d(shard.nbrs[other], back)
+                shard.nbrs[other] = prune_node(shard, other, both, degree, a, saturate) if len(both) > SLACK * degree else both
+    prune_all(shard, degree, alpha, saturate)
     return shard
 
 
+def prune_all(shard: Shard, degree: int, alpha: float = 1.2, saturate: bool = True) -> int:
+    """Prune every list that is longer than ``degree``; how many there were."""
+    over = [node for node, x in enumerate(shard.nbrs) if len(x) > degree]
+    for node in over:
+        shard.nbrs[node] = prune_node(shard, node, shard.nbrs[node], degree, alpha, saturate)
+    return len(over)
+
+
 # shards in Spark
 
 NODES = "shard long, id long, vec array<float>, nbrs array<long>"
@@ -264,61 +421,119 @@ def load_shard(t: pa.Table, with_pages: bool = False) -> Shard:
     return Shard(ids, matrix(t.column("vec")), nbrs, pages=pages)
 
 
-def search_graph(nodes: DataFrame, queries: DataFrame, k: int, pool: int, width: int = 4, mode: str = "beam", model=None, deleted: DataFrame | None = None, entries: DataFrame | None = None, max_rounds: int | None = None) -> DataFrame:
-    """(qid, rank, id, dist): every shard is searched for every query in a task of its own, the results are merged.
+MODES = ("beam", "page", "pipe", "batch", "fast")
+STATS = "qid long, shard long, hops long, reads long, comparisons long, seconds double"
+
+
+def route(queries: DataFrame, centers: tuple[np.ndarray, np.ndarray], probes: int) -> DataFrame:
+    """(shard, qid, qvec): every query with the ``probes`` shards whose centers are nearest to it."""
+    from . import clusters
+
+    near = clusters.nearest_centers(queries.select(F.col("qid").alias("id"), F.col("qvec").alias("vec")), centers, probes)
+    return near.select(F.col("id").alias("qid"), F.col("center").alias("shard")).join(queries.select("qid", "qvec"), "qid").select("shard", "qid", "qvec")
 
-    ``nodes`` has (shard, id, vec, nbrs[, page]). With a PQ ``model`` candidates are scored by codes. ``deleted`` (id) is
-    passed through but not returned. ``entries`` (shard, id) are start nodes besides the shard's medoid. A row that is in
-    several shards is found once.
+
+def search_graph(nodes: DataFrame, queries: DataFrame, k: int, pool: int, width: int = 4, mode: str = "batch", model=None, deleted: DataFrame | None = None, entries: DataFrame | None = None, max_rounds: int | None = None, centers: tuple[np.ndarray, np.ndarray] | None = None, probes: int = 2, policy: str = "adaptive", starts: DataFrame | None = None, deadline: float | None = None, stats: bool = False, once: bool = True) -> DataFrame:
+    """(qid, rank, id, dist): the queries are taken to shards and searched for there; results are merged.
+
+    ``nodes`` has (shard, id, vec, nbrs[, codes][, page]). With ``centers`` (shard numbers and their centers) a query goes
+    to the ``probes`` nearest shards; without, to all. Queries meet a shard's nodes in its task by a join on the shard: where
+    the nodes are stored in buckets of it, only the queries are shuffled. With a PQ ``model`` candidates are scored by the
+    stored codes, or by codes made here where there are none. ``deleted`` (id) is passed through but not returned.
+    ``entries`` (shard, id) are start nodes besides the shard's medoid, ``starts`` (qid, id) a query's own ones. A row that
+    is in several shards is found once, unless ``once`` is off. With ``stats`` the result is the count of work instead.
     """
-    if mode not in ("beam", "page", "pipe", "batch"):
+    if mode not in MODES:
         raise ValueError(f"no search mode {mode!r}")
     spark = nodes.sparkSession
     ship(spark)
-    columns = ["shard", "id", "vec", "nbrs", *(["page"] if mode == "page" else [])]
-    rows = nodes.select(*columns)
+    stored = model is not None and "codes" in nodes.columns
+    rows = nodes.select("shard", "id", "vec", "nbrs", *(["page"] if mode == "page" else []), *(["codes"] if stored else []))
     if deleted is not None:
         rows = rows.join(deleted.select("id").distinct().withColumn("deleted", F.lit(True)), "id", "left").withColumn("deleted", F.coalesce("deleted", F.lit(False)))
     if entries is not None:
         rows = rows.join(entries.select("shard", "id").distinct().withColumn("entry", F.lit(True)), ["shard", "id"], "left").withColumn("entry", F.coalesce("entry", F.lit(False)))
     with_deleted, with_entries = deleted is not None, entries is not None
+    known = queries.filter("qvec IS NOT NULL").select("qid", "qvec")
+    asked = route(known, centers, probes) if centers is not None else known.join(nodes.select("shard").distinct(), F.lit(True)).select("shard", "qid", "qvec")
+    if starts is not None:
+        asked = asked.join(starts.groupBy("qid").agg(F.sort_array(F.collect_set("id")).alias("starts")), "qid", "left").select("shard", "qid", "qvec", "starts")
+    with_starts = starts is not None
+    shipped = spark.sparkContext.broadcast(model)
+    empty = pa.schema([("qid", pa.int64()), ("id", pa.int64()), ("dist", pa.float64())])
+
+    def run(key: tuple, q: pa.Table, t: pa.Table) -> pa.Table:
+        model = shipped.value
+        if not q.num_rows or not t.num_rows:
+            return pa.table({c: [] for c in STAT_NAMES}, schema=STAT_SCHEMA) if stats else empty.empty_table()
+        q, t = q.sort_by("qid"), t.sort_by("id")
+        shard = load_shard(t, mode == "page")
+        if model is not None:
+            shard.codes = matrix(t.column("codes"), np.int64) if stored else model.encode(shard.vecs).astype(np.int64)
+        gone = t.column("deleted").to_numpy(zero_copy_only=False) if with_deleted else None
+        if with_entries:
+            shard.entries = [*shard.entries, *np.flatnonzero(t.column("entry").to_numpy(zero_copy_only=False)).tolist()]
+        if mode != "fast":
+            shard.cover()
+        qids, vectors = q.column("qid").to_numpy(), matrix(q.column("qvec"))
+        own: list[list[int] | None] = [None] * len(qids)
+        if with_starts:
+            for i, x in enumerate(q.column("starts").to_pylist()):
+                at = np.searchsorted(shard.ids, x or [])
+                own[i] = [int(a) for a, v in zip(at, x or [], strict=True) if a < len(shard.ids) and shard.ids[a] == v] or None
+        counted, found = [], []
+        if mode == "batch" and not stats and not with_starts and deadline is None:
+            tables = None if model is None else (lambda part: np.array([model.table(x) for x in part]))
+            links = shard.table()
+            for at in range(0, len(qids), QUERIES_IN_STEP):
+                part = vectors[at : at + QUERIES_IN_STEP]
+                found += search_batch(shard, part, k, pool, width, None if tables is None else tables(part), None, gone, max_rounds, links=links)
+        else:
+            for i, x in enumerate(vectors):
+                s, began = Stats(), time.perf_counter()
+                found.append(search_shard(shard, x, k, pool, width, "beam" if mode == "batch" else mode, None if model is None else model.table(x), own[i], gone, max_rounds, s, policy, deadline))
+                counted.append((int(qids[i]), key[0].as_py(), s.hops, s.reads, s.comparisons, time.perf_counter() - began))
+        if stats:
+            return pa.table(dict(zip(STAT_NAMES, map(list, zip(*counted, strict=True)), strict=True)), schema=STAT_SCHEMA)
+        at = np.concatenate([a for a, _ in found])
+        return pa.table({"qid": np.repeat(qids, [len(a) for a, _ in found]), "id": shard.ids[at], "dist": np.concatenate([d for _, d in found])}, schema=empty)
+
+    asked = asked.select(F.col("shard").alias("q_shard"), *[F.col(c).alias(c) for c in asked.columns if c != "shard"])  # columns of its own
+    local = asked.groupBy("q_shard").cogroup(rows.groupBy("shard")).applyInArrow(run, STATS if stats else "qid long, id long, dist double")
+    if stats:
+        return local
+    if once:
+        local = local.groupBy("qid", "id").agg(F.min("dist").alias("dist"))
+    return top_k(local, k).select("qid", "rank", "id", "dist")
+
+
+STAT_SCHEMA = pa.schema([("qid", pa.int64()), ("shard", pa.int64()), ("hops", pa.int64()), ("reads", pa.int64()), ("comparisons", pa.int64()), ("seconds", pa.float64())])
+STAT_NAMES = STAT_SCHEMA.names
+#: Queries of a shard whose look-up tables are held at once.
+QUERIES_IN_STEP = 512
 
-    def searcher(held):
-        def run(key: tuple, t: pa.Table) -> pa.Table:
-            qids, vectors, model = held.value
-            t = t.sort_by("id")
-            shard = load_shard(t, mode == "page")
-            if model is not None:
-                shard.codes = model.encode(shard.vecs)
-            gone = t.column("deleted").to_numpy(zero_copy_only=False) if with_deleted else None
-            if with_entries:
-                shard.entries = [*shard.entries, *np.flatnonzero(t.column("entry").to_numpy(zero_copy_only=False)).tolist()]
-            out: list[tuple] = []
-            for qid, q in zip(qids, vectors, strict=True):
-                at, d = search_shard(shard, q, k, pool, width, mode, None if model is None else model.table(q), deleted=gone, max_rounds=max_rounds)
-                out.append((np.full(len(at), qid), shard.ids[at], d))
-            q, i, d = (np.concatenate(x) for x in zip(*out, strict=True))
-            return pa.table({"qid": q, "id": i, "dist": d})
-
-        return run
-
-    found = None
-    for qids, vectors in query_blocks(queries):
-        shipped = spark.sparkContext.broadcast((qids, vectors, model))
-        local = rows.groupBy("shard").applyInArrow(searcher(shipped), "qid long, id long, dist double")
-        part = top_k(local.groupBy("qid", "id").agg(F.min("dist").alias("dist")), k)
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        found = spark.createDataFrame([], "qid long, id long, dist double, rank long")
-    return found.select("qid", "rank", "id", "dist")
-
-
-def prune_groups(candidates: DataFrame, degree: int, alpha: float = 1.2, saturate: bool = True) -> DataFrame:
-    """(id, nbrs) from (id, vec, cand, cvec): robust pruning of each node's bounded list of candidates."""
+
+def sample_entries(vectors: DataFrame, queries: DataFrame, p: float = 0.01, k: int = 10) -> DataFrame:
+    """(qid, id): start nodes of each query, its ``k`` nearest rows of a sample with probability ``p``, by exact search."""
+    from .filters import sample_or_first
+    from .knn import exact_knn
+
+    return exact_knn(sample_or_first(vectors.select("id", "vec"), p), queries, k).select("qid", "id")
+
+
+def prune_groups(candidates: DataFrame, degree: int, alpha: float = 1.2, saturate: bool = True, own: bool = True) -> DataFrame:
+    """(id, nbrs) from (id, vec, cand, cvec): robust pruning of each node's bounded list of candidates.
+
+    ``own`` says that ids and candidates are of one kind, so that a node's own id is no candidate; else ``id`` is a key only.
+    """
     ship(candidates.sparkSession)
 
     def run(key: tuple, t: pa.Table) -> pa.Table:
         t = t.sort_by("cand")
+        if own:
+            t = t.filter(pc.not_equal(t.column("cand"), key[0]))
+        if not t.num_rows:
+            return pa.table({"id": pa.array([key[0].as_py()], pa.int64()), "nbrs": pa.array([[]], pa.list_(pa.int64()))})
         ids = np.concatenate([[key[0].as_py()], t.column("cand").to_numpy()])
         vecs = np.concatenate([matrix(t.column("vec").slice(0, 1)), matrix(t.column("cvec"))])
         s = Shard(ids, vecs, [], entries=[0])
@@ -326,3 +541,21 @@ def prune_groups(candidates: DataFrame, degree: int, alpha: float = 1.2, saturat
         return pa.table({"id": pa.array([ids[0]], pa.int64()), "nbrs": pa.array([ids[keep].tolist()], pa.list_(pa.int64()))})
 
     return candidates.groupBy("id").applyInArrow(run, "id long, nbrs array<long>")
+
+
+def reached(nodes: DataFrame) -> DataFrame:
+    """(shard, id, nbrs, reached): whether the medoid of its shard leads to a node."""
+    ship(nodes.sparkSession)
+
+    def run(key: tuple, t: pa.Table) -> pa.Table:
+        t = t.sort_by("id")
+        shard = load_shard(t)
+        links, seen, front = shard.table(), np.zeros(t.num_rows, bool), np.array(shard.entries)
+        while len(front):
+            seen[front] = True
+            out = np.unique(links[front])
+            out = out[out >= 0]
+            front = out[~seen[out]]
+        return pa.table({"shard": t.column("shard"), "id": t.column("id"), "nbrs": t.column("nbrs"), "reached": pa.array(seen)})
+
+    return nodes.select("shard", "id", "vec", "nbrs").groupBy("shard").applyInArrow(run, "shard long, id long, nbrs array<long>, reached boolean")

@@ -1,9 +1,11 @@
 """Exact nearest neighbours of a stated set of queries among all rows.
 
 ``exact_knn`` is the main path: a bounded block of queries goes to every task, which computes distances by matrix
-products over its Arrow batches and keeps ``k`` rows a query; one shuffle of at most tasks * queries * k narrow rows
-merges them. Query sets beyond BLOCK are taken block by block, so what a task holds doesn't grow with the query set.
-``knn_plan`` is the same as a plain relational plan, for small query sets and for composition with filters in SQL.
+products over its Arrow batches and holds the ``k`` nearest rows of each query; one shuffle of at most tasks * queries *
+k narrow rows merges them. Query sets beyond BLOCK are taken block by block: the driver holds one block at a time, whose
+result is written to the shared folder before the next is fetched. ``knn_plan`` is the same as a plain relational plan,
+for composition with filters in SQL. ``knn_all`` makes every row a query without the driver seeing any: rows are routed to
+clusters that may hold nearer ones by the triangle inequality and compared on the executors.
 """
 
 from __future__ import annotations
@@ -16,11 +18,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import distance
-from ..session import ship
+from ..session import cut, ship
 
 #: Queries compared in one pass, and matrix cells computed at once in a task.
 BLOCK = 2048
 CELLS = 1 << 21
+#: Rows that a cell, or a block of it, should hold.
+CELL_ROWS = 4096
 
 
 def top_k(df: DataFrame, k: int, by: str = "qid", id: str = "id") -> DataFrame:
@@ -55,16 +59,25 @@ def precise(metric: str, query: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return distances(metric, query[None], rows)[0]
 
 
+def slack(metric: str, queries: np.ndarray, base: np.ndarray) -> np.ndarray:
+    """By how much the product form may be off for each query: rounding in proportion to the squared lengths."""
+    if metric != "l2" or not len(base):
+        return np.full(len(queries), 1e-9)
+    longest = (base**2).sum(1).max()
+    return 1e-9 + 8 * np.finfo(np.float64).eps * base.shape[1] * ((queries**2).sum(1) + longest)
+
+
 def nearest(metric: str, qids: np.ndarray, queries: np.ndarray, ids: np.ndarray, base: np.ndarray, k: int):
     """(qid, id, dist) of the ``k`` nearest rows of each query; selected by product, settled by direct differences."""
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     step = max(1, CELLS // max(len(base), 1))
     for at in range(0, len(queries), step):
-        rough = distances(metric, queries[at : at + step], base)
-        for row, qid, q in zip(rough, qids[at : at + step], queries[at : at + step], strict=True):
+        part = queries[at : at + step]
+        rough, off = distances(metric, part, base), slack(metric, part, base)
+        for row, qid, q, more in zip(rough, qids[at : at + step], part, off, strict=True):
             if len(base) > k:
                 limit = np.partition(row, k - 1)[k - 1]
-                near = np.flatnonzero(row <= limit + 1e-9 * (1 + abs(limit)))
+                near = np.flatnonzero(row <= limit + 2 * more + 1e-9 * abs(limit))
             else:
                 near = np.arange(len(base))
             d = precise(metric, q, base[near])
@@ -75,17 +88,37 @@ def nearest(metric: str, qids: np.ndarray, queries: np.ndarray, ids: np.ndarray,
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def query_blocks(queries: DataFrame, block: int = BLOCK) -> list[tuple[np.ndarray, np.ndarray]]:
-    """The query set as blocks of (qids, vectors), each fetched on its own."""
+def first_k(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ``k`` nearest of each query among several results."""
+    q, i, d = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.lexsort((i, d, q))
+    q, i, d = q[order], i[order], d[order]
+    start = np.flatnonzero(np.diff(q, prepend=q[0] - 1)) if len(q) else np.empty(0, np.int64)
+    place = np.arange(len(q)) - np.repeat(start, np.diff(np.append(start, len(q))))
+    return q[place < k], i[place < k], d[place < k]
+
+
+def query_blocks(queries: DataFrame, block: int = BLOCK) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+    """The query set as blocks (qids, vectors, whether there are more), each fetched when it is asked for."""
     n = queries.count()
     blocks = max(1, -(-n // block))
-    out = []
     for b in range(blocks):
         part = queries if blocks == 1 else queries.filter(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b)
         rows = sorted(part.select("qid", "qvec").filter("qvec IS NOT NULL").collect(), key=lambda r: r[0])
         if rows:
-            out.append((np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.float64)))
-    return out
+            yield np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.float64), blocks > 1
+
+
+def by_block(queries: DataFrame, answer, block: int = BLOCK) -> DataFrame:
+    """The union of ``answer(qids, vectors)`` over all blocks; with more than one, each is written before the next begins."""
+    found = None
+    for qids, vectors, more in query_blocks(queries, block):
+        part = answer(qids, vectors)
+        part = cut(part) if more else part
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        found = queries.sparkSession.createDataFrame([], "qid long, id long, dist double, rank long")
+    return found.select("qid", "rank", "id", "dist")
 
 
 def exact_knn(base: DataFrame, queries: DataFrame, k: int, metric: str = "l2", block: int = BLOCK) -> DataFrame:
@@ -97,32 +130,110 @@ def exact_knn(base: DataFrame, queries: DataFrame, k: int, metric: str = "l2", b
     spark = base.sparkSession
     ship(spark)
     rows = base.select("id", "vec").filter("vec IS NOT NULL")
-    found = None
-    for qids, vectors in query_blocks(queries, block):
+
+    def answer(qids, vectors):
         shipped = spark.sparkContext.broadcast((qids, vectors))
 
-        def run(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             qids, vectors = shipped.value
+            held = None
             for b in batches:
                 if b.num_rows:
-                    q, i, d = nearest(metric, qids, vectors, b.column("id").to_numpy(), matrix(b.column("vec")), k)
-                    yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(i), pa.array(d)], ["qid", "id", "dist"])
+                    found = nearest(metric, qids, vectors, b.column("id").to_numpy(), matrix(b.column("vec")), k)
+                    held = found if held is None else first_k([held, found], k)
+            if held is not None:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in held], ["qid", "id", "dist"])
 
-        part = top_k(rows.mapInArrow(run, "qid long, id long, dist double"), k)
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        found = spark.createDataFrame([], "qid long, id long, dist double, rank long")
-    return found.select("qid", "rank", "id", "dist")
+        return top_k(rows.mapInArrow(run, "qid long, id long, dist double"), k)
 
+    return by_block(queries, answer, block)
 
-def knn_plan(base: DataFrame, queries: DataFrame, k: int, metric: str = "l2", most_queries: int = BLOCK) -> DataFrame:
-    """``exact_knn`` as a relational plan; the query set is counted before it is broadcast."""
-    n = queries.count()
-    if n > most_queries:
-        raise ValueError(f"{n} queries are too many to broadcast; exact_knn takes them in blocks")
-    pairs = base.select("id", "vec").crossJoin(F.broadcast(queries.select("qid", "qvec")))
-    scored = pairs.select("qid", "id", distance(metric)(F.col("qvec"), F.col("vec")).alias("dist")).filter("dist IS NOT NULL")
-    return top_k(scored, k).select("qid", "rank", "id", "dist")
+
+def knn_plan(base: DataFrame, queries: DataFrame, k: int, metric: str = "l2", block: int = BLOCK) -> DataFrame:
+    """``exact_knn`` as a relational plan: the query set is counted and joined in blocks that may be broadcast."""
+    blocks = max(1, -(-queries.count() // block))
+    found = None
+    for b in range(blocks):
+        part = queries.select("qid", "qvec").filter(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b)
+        pairs = base.select("id", "vec").crossJoin(F.broadcast(part))
+        scored = pairs.select("qid", "id", distance(metric)(F.col("qvec"), F.col("vec")).alias("dist")).filter("dist IS NOT NULL")
+        best = top_k(scored, k).select("qid", "rank", "id", "dist")
+        found = best if found is None else found.unionByName(best)
+    return found
+
+
+def routed(base: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(cell, qid, id, dist): for ``queries`` (qid, qvec, cell) the ``k`` nearest rows of ``base`` (id, vec, cell) in their cell.
+
+    A cell of many rows or queries is cut into blocks; every pair of blocks is a group of its own.
+    """
+    count = lambda df: df.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / CELL_ROWS).cast("int").alias("_n"))
+    sizes = count(base).withColumnRenamed("_n", "_bases").join(count(queries).withColumnRenamed("_n", "_asked"), "cell")
+    own = lambda id, n: F.pmod(F.xxhash64(id), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    rows = base.join(sizes, "cell").select("cell", own("id", "_bases").alias("i"), every("_asked").alias("j"), "id", "vec")
+    asked = queries.join(sizes, "cell").select("cell", every("_bases").alias("i"), own("qid", "_asked").alias("j"), "qid", "qvec")
+
+    schema = pa.schema([("cell", pa.int64()), ("qid", pa.int64()), ("id", pa.int64()), ("dist", pa.float64())])
+
+    def run(key: tuple, q: pa.Table, b: pa.Table) -> pa.Table:
+        if not q.num_rows or not b.num_rows:
+            return schema.empty_table()
+        q, b = q.combine_chunks(), b.combine_chunks()
+        found = nearest("l2", q.column("qid").to_numpy(), matrix(q.column("qvec")), b.column("id").to_numpy(), matrix(b.column("vec")), k)
+        return pa.table([np.full(len(found[0]), key[0].as_py()), *found], schema=schema)
+
+    ship(base.sparkSession)
+    key = ["cell", "i", "j"]
+    asked = asked.select(*[F.col(c).alias(f"q_{c}") for c in key], F.col("qid").alias("qid"), F.col("qvec").alias("qvec"))  # columns of its own
+    return asked.groupBy(*[f"q_{c}" for c in key]).cogroup(rows.groupBy(*key)).applyInArrow(run, "cell long, qid long, id long, dist double")
+
+
+def knn_all(vectors: DataFrame, k: int, centers: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
+    """(qid, rank, id, dist): the ``k`` exact nearest other rows, by squared distance, of every row (id, vec).
+
+    Rows belong to the cell of their nearest center. Each is first held against its own cell; what it finds bounds how far
+    another cell's center may be, less that cell's radius, to hold anything nearer, and it goes to those cells only.
+    """
+    from . import clusters
+
+    rows = vectors.select("id", "vec").filter("vec IS NOT NULL")
+    if centers is None:
+        n = rows.count()
+        centers = clusters.seed_random(rows, max(1, min(clusters.MAX_CENTERS, n // CELL_ROWS)))
+    near = clusters.nearest_centers(rows, centers)
+    placed = cut(near.select("id", F.col("center").alias("cell"), F.col("dist").alias("_far")).join(rows, "id"))
+    radius = dict(placed.groupBy("cell").agg(F.max("_far")).collect())  # a number a center
+    base = placed.select("id", "vec", "cell")
+    asked = placed.select(F.col("id").alias("qid"), F.col("vec").alias("qvec"), "cell")
+    home = routed(base, asked, k + 1).select("qid", "id", "dist").filter("qid <> id")
+    if len(radius) < 2:
+        return top_k(home, k).select("qid", "rank", "id", "dist")
+    home = cut(top_k(home, k).select("qid", "id", "dist"))
+    reach = home.groupBy("qid").agg(F.max("dist").alias("_reach"), F.count(F.lit(1)).alias("_found"))
+    bounded = asked.join(reach, "qid", "left").withColumn("_reach", F.when(F.col("_found") >= k, F.col("_reach")))
+    held = [int(c) for c in centers[0] if int(c) in radius]
+    points = centers[1][[int(c) in radius for c in centers[0]]]
+    far = np.sqrt([radius[c] for c in held])
+    shipped = vectors.sparkSession.sparkContext.broadcast((np.array(held, np.int64), points, far))
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers, points, far = shipped.value
+        for whole in batches:
+            step = max(1, CELLS // len(numbers))
+            for at in range(0, whole.num_rows, step):
+                b = whole.slice(at, step)
+                q = matrix(b.column("qvec"))
+                d = np.sqrt(np.maximum(distances("l2", q, points) - slack("l2", q, points)[:, None], 0))
+                reach = np.sqrt(b.column("_reach").to_numpy(zero_copy_only=False).astype(float))
+                own = b.column("cell").to_numpy()
+                r, c = np.nonzero(((d - far) * (1 - 1e-9) <= reach[:, None] * (1 + 1e-9)) | np.isnan(reach)[:, None])
+                r, c = r[numbers[c] != own[r]], c[numbers[c] != own[r]]
+                yield pa.RecordBatch.from_arrays([b.column("qid").take(pa.array(r)), b.column("qvec").take(pa.array(r)), pa.array(numbers[c])], ["qid", "qvec", "cell"])
+
+    ship(vectors.sparkSession)
+    others = bounded.select("qid", "qvec", "cell", "_reach").mapInArrow(route, f"qid long, qvec {dict(asked.dtypes)['qvec']}, cell long")
+    return top_k(home.unionByName(routed(base, others, k).select("qid", "id", "dist")), k).select("qid", "rank", "id", "dist")
 
 
 def knn_filtered(base: DataFrame, queries: DataFrame, k: int, keep: DataFrame | None = None, drop: DataFrame | None = None, metric: str = "l2") -> DataFrame:

@@ -16,11 +16,14 @@ from pyspark.sql import functions as F
 
 from ..session import ship
 from .clusters import kmeans_local
-from .knn import matrix, precise, query_blocks, top_k
+from .knn import by_block, first_k, matrix, precise, top_k
 
 MAX_CHUNKS = 100
 PIVOTS = 256
+MAX_PIVOTS = 1 << 15
 TRAIN_ROWS = 256_000
+#: Queries whose look-up tables a task holds: 100 chunks of 256 pivots are 105 MB for them.
+QUERIES = 512
 
 
 def chunk_offsets(dim: int, chunks: int) -> list[int]:
@@ -42,7 +45,9 @@ class PQModel:
     pivots: list[np.ndarray]  # for each chunk, pivot by dimension
 
     def encode(self, rows: np.ndarray) -> np.ndarray:
-        """The nearest pivot of each chunk, the first among equals."""
+        """The nearest pivot of each chunk, the first among equals. There are at most MAX_PIVOTS, so that a code is 16 bits."""
+        if max(map(len, self.pivots)) > MAX_PIVOTS:
+            raise ValueError(f"more than {MAX_PIVOTS} pivots")
         x = rows - self.center
         out = np.empty((len(rows), len(self.pivots)), np.int16)
         for c, p in enumerate(self.pivots):
@@ -149,29 +154,33 @@ def adc_top(codes: DataFrame, queries: DataFrame, model: PQModel, top: int) -> D
     """(qid, rank, id, dist): the ``top`` rows of least asymmetric distance; only the codes are read."""
     spark = codes.sparkSession
     ship(spark)
-    found = None
-    for qids, vectors in query_blocks(queries):
-        shipped = spark.sparkContext.broadcast((qids, np.array([model.table(q) for q in vectors])))
 
-        def run(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
-            qids, luts = shipped.value
+    def answer(qids, vectors):
+        shipped = spark.sparkContext.broadcast((qids, vectors, model))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            qids, vectors, model = shipped.value
+            luts = np.array([model.table(q) for q in vectors])  # made where they are used, for a block of QUERIES
             chunks = np.arange(luts.shape[1])
+            held = None
             for b in batches:
                 if not b.num_rows:
                     continue
                 ids, rows = b.column("id").to_numpy(), matrix(b.column("codes"), np.int64)
+                found = [] if held is None else [held]
                 for qid, lut in zip(qids, luts, strict=True):
                     d = lut[chunks, rows].sum(1)
                     limit = np.partition(d, top - 1)[top - 1] if len(d) > top else np.inf
                     near = np.flatnonzero(d <= limit)
                     near = near[np.lexsort((ids[near], d[near]))[:top]]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(near), qid)), pa.array(ids[near]), pa.array(d[near])], ["qid", "id", "dist"])
+                    found.append((np.full(len(near), qid), ids[near], d[near]))
+                held = first_k(found, top)
+            if held is not None:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in held], ["qid", "id", "dist"])
+
+        return top_k(codes.select("id", "codes").mapInArrow(run, "qid long, id long, dist double"), top)
 
-        part = top_k(codes.select("id", "codes").mapInArrow(run, "qid long, id long, dist double"), top)
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        found = spark.createDataFrame([], "qid long, id long, dist double, rank long")
-    return found.select("qid", "rank", "id", "dist")
+    return by_block(queries, answer, QUERIES)
 
 
 def symmetric_distance(pairs: DataFrame, codes: DataFrame, model: PQModel) -> DataFrame:
@@ -206,3 +215,33 @@ def two_phase_knn(vectors: DataFrame, codes: DataFrame, queries: DataFrame, mode
                 yield pa.RecordBatch.from_arrays([b.column("qid"), b.column("id"), pa.array(d)], ["qid", "id", "dist"])
 
     return top_k(near.select("qid", "id", "qvec", "vec").mapInArrow(run, "qid long, id long, dist double"), k).select("qid", "rank", "id", "dist")
+
+
+def residuals(vectors: DataFrame, assigned: DataFrame, centers: DataFrame, back: bool = False) -> DataFrame:
+    """(id, vec) less the center each row is assigned to; with ``back`` the center is added again.
+
+    ``assigned`` has (id, center), ``centers`` (center, cvec), a bounded number.
+    """
+    near = vectors.select("id", "vec").join(assigned.select("id", "center"), "id").join(centers.select("center", "cvec"), "center")
+    sign = 1.0 if back else -1.0
+    return near.select("id", F.zip_with("vec", "cvec", lambda x, c: x.cast("double") + sign * c.cast("double")).alias("vec"))
+
+
+def rotation(dim: int, seed: int = 0) -> np.ndarray:
+    """A random orthogonal matrix: the Q of a normal matrix with the signs of R's diagonal."""
+    q, r = np.linalg.qr(np.random.default_rng(seed).normal(size=(dim, dim)))
+    return q * np.sign(np.diag(r))
+
+
+def rotate(vectors: DataFrame, turn: np.ndarray, back: bool = False) -> DataFrame:
+    """(id, vec) times the matrix, or its transpose, which takes a rotation back."""
+    spark = vectors.sparkSession
+    ship(spark)
+    shipped = spark.sparkContext.broadcast(turn.T if back else turn)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                yield pa.RecordBatch.from_arrays([b.column("id"), pa.array((matrix(b.column("vec")) @ shipped.value).tolist(), pa.list_(pa.float64()))], ["id", "vec"])
+
+    return vectors.select("id", "vec").filter("vec IS NOT NULL").mapInArrow(run, "id long, vec array<double>")

@@ -1,7 +1,7 @@
 """All queries of the library by name, with the SQL each is checked against.
 
 The base is every row of ``embeddings``; searches take as queries the rows whose id is divisible by 50. Centers and
-pivots are made from those rows as well, so that both sides have the same model. Tags are 7 * id + 3; ids that end in 3
+pivots are the first 1024 and 256 of those rows, so that both sides have the same model, of fixed size. Tags are 7 * id + 3; ids that end in 3
 count as deleted. Distances are rounded to six digits on both sides.
 """
 
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..operators import clusters, filters, graphs, knn, layout, mutations, pq, stats
-from ..session import table
+from ..session import cut, table
 from ..sources import text
 
 K = 10
@@ -24,6 +24,9 @@ CHUNKS = 8
 NEIGHBOURS = 8
 TOP = 100
 PER_PAGE = 5
+#: Most centers of the queries about centers, and rows that a shard of the queries about graphs should hold.
+CENTERS = 1024
+SHARD_ROWS = 4096
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -69,11 +72,12 @@ def deleted(b: DataFrame) -> DataFrame:
 
 
 def centers(b: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    return clusters.fetch_centers(asked(b).select(F.col("qid").alias("center"), F.col("qvec").alias("cvec")))
+    first = asked(b).filter(F.col("qid") < STEP * CENTERS)
+    return clusters.fetch_centers(first.select(F.col("qid").alias("center"), F.col("qvec").alias("cvec")))
 
 
 def model(b: DataFrame) -> pq.PQModel:
-    rows = np.array([r[1] for r in sorted(asked(b).collect())], np.float64)
+    rows = np.array([r[1] for r in sorted(asked(b).filter(F.col("qid") < STEP * pq.PIVOTS).collect())], np.float64)
     return pq.model_from_rows(rows, np.array(stats.centroid(b).first()[0]), CHUNKS)
 
 
@@ -269,7 +273,7 @@ def medoid(spark, sf_dir):
 
 
 def centers_sql(k: int, what: str) -> str:
-    return f"""WITH {E_SQL}, {Q_SQL}, s AS (SELECT id, qid AS center, {l2("vec", "qvec")} AS d FROM q, e),
+    return f"""WITH {E_SQL}, {Q_SQL}, s AS (SELECT id, qid AS center, {l2("vec", "qvec")} AS d FROM q, e WHERE qid < {STEP * CENTERS}),
 a AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, center) AS rank FROM s QUALIFY rank <= {k}) {what}"""
 
 
@@ -322,7 +326,7 @@ def kmeans_residual(spark, sf_dir):
 
 PIVOTS_SQL = f"""{E_SQL}, {Q_SQL}, {MEAN_SQL},
 p AS (SELECT chunk, row_number() OVER (PARTITION BY chunk ORDER BY qid) - 1 AS code, list_transform(list_zip(qvec[8 * chunk + 1:8 * chunk + 8], c[8 * chunk + 1:8 * chunk + 8]), lambda z: z[1]::DOUBLE - z[2]) AS piv
-      FROM q, m, (SELECT unnest(range(0, 8)) AS chunk)),
+      FROM q, m, (SELECT unnest(range(0, 8)) AS chunk) WHERE qid < {STEP * pq.PIVOTS}),
 v AS (SELECT id, chunk, list_transform(list_zip(vec[8 * chunk + 1:8 * chunk + 8], c[8 * chunk + 1:8 * chunk + 8]), lambda z: z[1]::DOUBLE - z[2]) AS part FROM e, m, (SELECT unnest(range(0, 8)) AS chunk)),
 c AS (SELECT id, v.chunk, min_by(code, {{'d': {l2('part', 'piv')}, 'c': code}}) AS code FROM v JOIN p USING (chunk) GROUP BY id, v.chunk),
 t AS (SELECT id AS qid, v.chunk, code, {l2('part', 'piv')} AS d FROM v JOIN p USING (chunk) WHERE id % {STEP} = 0),
@@ -468,20 +472,14 @@ def compact_graph(spark, sf_dir):
 
 
 @query(
-    f"""WITH {E_SQL}, {Q_SQL}, s AS (SELECT id, qid AS center, {l2("vec", "qvec")} AS d FROM q, e), a AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, center) AS rank FROM s QUALIFY rank <= 2),
+    f"""WITH {E_SQL}, {Q_SQL}, s AS (SELECT id, qid AS center, {l2("vec", "qvec")} AS d FROM q, e WHERE qid < {STEP * CENTERS}), a AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, center) AS rank FROM s QUALIFY rank <= 2),
 z AS (SELECT center, id, vec FROM a JOIN e USING (id)), x AS (SELECT u.center, u.id AS src, w.id AS dst, {l2("u.vec", "w.vec")} AS dist FROM z u JOIN z w ON u.center = w.center AND u.id <> w.id),
 g AS (SELECT *, row_number() OVER (PARTITION BY center, src ORDER BY dist, dst) AS rank FROM x QUALIFY rank <= {NEIGHBOURS}), o AS (SELECT src, dst, min(dist) AS dist FROM g GROUP BY src, dst),
 k AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY dist, dst) AS rank FROM o QUALIFY rank <= {NEIGHBOURS}) SELECT src AS vec_id, string_agg(CAST(dst AS VARCHAR), ',' ORDER BY rank) AS nbrs FROM k GROUP BY src"""
 )
 def merge_shard_edges(spark, sf_dir):
-    from pyspark.sql import Window
-
     b = base(spark, sf_dir)
-    z = clusters.to_shards(b, centers(b), 2)
-    other = z.select("shard", F.col("id").alias("dst"), F.col("vec").alias("ovec"))
-    pairs = z.join(other, "shard").filter("id <> dst").select("shard", F.col("id").alias("src"), "dst", V.l2sq(F.col("vec"), F.col("ovec")).alias("dist"))
-    near = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("shard", "src").orderBy("dist", "dst"))).filter(F.col("rank") <= NEIGHBOURS)
-    return joined(graphs.merge_shards(near, NEIGHBOURS))
+    return joined(graphs.merge_shards(graphs.shard_graph(clusters.to_shards(b, centers(b), 2), NEIGHBOURS), NEIGHBOURS))
 
 
 @query(f"SELECT vec_id, vec_id // {PER_PAGE} AS page, vec_id % {PER_PAGE} AS slot FROM embeddings")
@@ -560,13 +558,17 @@ def tsv_roundtrip(spark, sf_dir):
 
 # graph search
 
-FULL = 1 << 20
+def nodes(b: DataFrame) -> DataFrame:
+    """Shards of consecutive ids, each with its own neighbour graph made symmetric."""
+    shards = b.withColumn("shard", F.floor(F.col("id") / SHARD_ROWS).cast("long"))
+    near = graphs.shard_graph(shards, NEIGHBOURS)
+    both = near.select("shard", "src", "dst").union(near.select("shard", F.col("dst").alias("src"), F.col("src").alias("dst")))
+    lists = both.groupBy("shard", F.col("src").alias("id")).agg(F.sort_array(F.collect_set("dst")).alias("nbrs"))
+    return shards.join(lists, ["shard", "id"], "left").select("shard", "id", "vec", F.coalesce("nbrs", F.expr("cast(array() as array<bigint>)")).alias("nbrs"), F.floor(F.col("id") / PER_PAGE).alias("page"))
 
 
-def nodes(b: DataFrame) -> DataFrame:
-    """One shard with the neighbour graph made symmetric, which connects it."""
-    graph = graphs.adjacency(graphs.reverse_edges(edges(b)))
-    return b.join(graph, "id").select(F.lit(0).cast("long").alias("shard"), "id", "vec", "nbrs", F.floor(F.col("id") / PER_PAGE).alias("page"))
+#: A pool that holds a whole shard.
+FULL = SHARD_ROWS
 
 
 @query(EXACT)
@@ -596,57 +598,140 @@ def graph_batch_full(spark, sf_dir):
 @query(knn_sql(l2("qvec", "vec"), "id % 10 <> 3"))
 def graph_deleted_full(spark, sf_dir):
     b = base(spark, sf_dir)
-    return shown(graphs.search_graph(nodes(b), asked(b), K, FULL, 8, "beam", deleted=deleted(b)))
+    return shown(graphs.search_graph(nodes(b), asked(b), K, FULL, 8, "batch", deleted=deleted(b)))
 
 
-@query()
-def graph_beam_recall(spark, sf_dir):
-    b = base(spark, sf_dir)
-    m, truth, n = model(b), knn.exact_knn(b, asked(b), TOP), nodes(b)
-    parts = [stats.recall(graphs.search_graph(n, asked(b), K, size, 8, "pipe", m), truth, K).withColumn("pool", F.lit(size)) for size in (10, 40, 100)]
+# built graphs and bounded pools; results that aren't exact are held against a bound on their recall
+
+DEGREE, POOL, CODE_CHUNKS = 32, 64, 32
+
+
+def placed(b: DataFrame) -> tuple[DataFrame, tuple[np.ndarray, np.ndarray] | None]:
+    """(shard, id, vec) for building, and the shards' centers; one shard as long as that holds all rows."""
+    shards = -(-b.count() // SHARD_ROWS)
+    if shards < 2:
+        return b.select(F.lit(0).cast("long").alias("shard"), "id", "vec"), None
+    return clusters.partition(b, shards, 2)
+
+
+def built(b: DataFrame) -> tuple[DataFrame, tuple[np.ndarray, np.ndarray] | None]:
+    rows, own = placed(b)
+    return cut(graphs.build_graph(rows, DEGREE, POOL)), own
+
+
+def bound_sql(bounds: dict[str, int]) -> str:
+    rows = " UNION ALL ".join(f"SELECT '{name}' AS search, {least} AS least" for name, least in bounds.items())
+    return f"SELECT search, (SELECT count(*) FROM embeddings WHERE vec_id % {STEP} = 0) AS n_queries, least, true AS reached FROM ({rows})"
+
+
+def bounded(b: DataFrame, found: dict[str, DataFrame], bounds: dict[str, int], truth: DataFrame | None = None) -> DataFrame:
+    """(search, n_queries, least, reached): whether the recall of each search, in percent, is at least what it should be."""
+    truth = cut(knn.exact_knn(b, asked(b), TOP)) if truth is None else truth
+    parts = [stats.recall(df, truth, K).select(F.lit(name).alias("search"), "n_queries", F.lit(bounds[name]).alias("least"), (F.col("recall") >= bounds[name]).alias("reached")) for name, df in found.items()]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
 
 
+POOLS = {"L10": 65, "L20": 85, "L40": 92, "L100": 97}
+
+
+def pooled(b: DataFrame) -> dict[str, DataFrame]:
+    """Searches by stored codes of a trained model, one for each size of the pool."""
+    n, own = built(b)
+    m = pq.train(b, CODE_CHUNKS)
+    coded = cut(n.join(pq.encode(b, m), "id"))
+    return {name: graphs.search_graph(coded, asked(b), K, int(name[1:]), 8, "pipe" if name == "L40" else "batch", m, centers=own) for name in POOLS}
+
+
+@query(bound_sql(POOLS))
+def graph_beam_recall(spark, sf_dir):
+    b = base(spark, sf_dir)
+    return bounded(b, pooled(b), POOLS)
+
+
+#: Shards of the queries that route, their centers the first of the rows asked for.
 SHARDS = 4
 
 
-def built(b: DataFrame) -> DataFrame:
-    rows = sorted(asked(b).collect())[:SHARDS]
+def sharded(b: DataFrame) -> tuple[DataFrame, tuple[np.ndarray, np.ndarray]]:
+    rows = asked(b).orderBy("qid").limit(SHARDS).collect()
     own = (np.arange(len(rows)), np.array([r[1] for r in rows], np.float64))
-    return graphs.build_graph(clusters.to_shards(b, own, 2), 16, 32)
+    return cut(graphs.build_graph(clusters.to_shards(b, own, 2), DEGREE, POOL)), own
 
 
-@query()
+@query("SELECT vec_id, true AS bounded, 0 AS loops, true AS reached FROM embeddings, (SELECT unnest(range(0, 2)) AS copy)")
 def vamana_edges(spark, sf_dir):
-    return graphs.edge_list(built(base(spark, sf_dir)).select("id", "nbrs")).distinct()
+    """A row for each row of a shard: whether its list is bounded, how often it is in it, and whether the shard's medoid leads to it."""
+    n, _ = sharded(base(spark, sf_dir))
+    return graphs.reached(n).select(F.col("id").alias("vec_id"), (F.size("nbrs") <= DEGREE).alias("bounded"), F.size(F.filter("nbrs", lambda x: x == F.col("id"))).alias("loops"), "reached")
 
 
-@query()
-def vamana_knn(spark, sf_dir):
-    b = base(spark, sf_dir)
-    return shown(graphs.search_graph(built(b), asked(b), K, 64, 4, "beam"))
+ROUTED = {"all shards": 95, "three shards": 90, "beam": 95, "static pipe": 95, "naive pipe": 95, "fast": 90, "own starts": 95}
 
 
-@query()
+@query(bound_sql(ROUTED))
+def vamana_knn(spark, sf_dir):
+    b = base(spark, sf_dir)
+    n, own = sharded(b)
+    starts = cut(graphs.sample_entries(b, asked(b), 0.05))
+    q = asked(b)
+    found = {
+        "all shards": graphs.search_graph(n, q, K, 64, 4),
+        "three shards": graphs.search_graph(n, q, K, 64, 4, centers=own, probes=3),
+        "beam": graphs.search_graph(n, q, K, 64, 4, "beam"),
+        "static pipe": graphs.search_graph(n, q, K, 64, 32, "pipe", policy="static"),
+        "naive pipe": graphs.search_graph(n, q, K, 64, 16, "pipe", policy="naive"),
+        "fast": graphs.search_graph(n, q, K, 64, 4, "fast"),
+        "own starts": graphs.search_graph(n, q, K, 64, 4, "beam", starts=starts),
+    }
+    return bounded(b, found, ROUTED)
+
+
+PRUNE_SQL = f"""WITH RECURSIVE {E_SQL}, s AS (SELECT a.id AS src, b.id AS dst, {l2('a.vec', 'b.vec')} AS dist FROM e a, e b WHERE a.id <> b.id),
+c AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY dist, dst) AS rank FROM s QUALIFY rank <= 32),
+sh AS (SELECT i.src, i.rank, any_value(i.dst) AS dst, list(j.dst) FILTER (WHERE i.dist > x.dist) AS one, list(j.dst) FILTER (WHERE i.dist > 1.2 * x.dist) AS alpha
+  FROM c i JOIN c j ON i.src = j.src AND j.rank < i.rank JOIN s x ON x.src = j.dst AND x.dst = i.dst GROUP BY i.src, i.rank
+  UNION ALL SELECT src, rank, dst, NULL, NULL FROM c WHERE rank = 1),
+p AS (SELECT DISTINCT src, CAST(0 AS BIGINT) AS step, CAST([] AS BIGINT[]) AS kept FROM c
+  UNION ALL SELECT p.src, step + 1, CASE WHEN len(kept) < {NEIGHBOURS} AND NOT list_contains(kept, sh.dst)
+    AND NOT list_has_any(kept, coalesce(CASE WHEN step < 32 THEN one ELSE alpha END, CAST([] AS BIGINT[]))) THEN list_append(kept, sh.dst) ELSE kept END
+  FROM p JOIN sh ON sh.src = p.src AND sh.rank = p.step % 32 + 1 WHERE step < 64),
+f AS (SELECT p.src, kept, list(dst ORDER BY rank) FILTER (WHERE NOT list_contains(kept, dst)) AS rest FROM p JOIN c USING (src) WHERE step = 64 GROUP BY p.src, kept)
+SELECT src AS vec_id, list_aggregate(list_transform(list_sort(list_concat(kept, coalesce(rest, CAST([] AS BIGINT[]))[1:{NEIGHBOURS} - len(kept)])), lambda x: CAST(x AS VARCHAR)), 'string_agg', ',') AS nbrs FROM f"""
+
+
+@query(PRUNE_SQL)
 def robust_prune(spark, sf_dir):
     b = base(spark, sf_dir)
     wide = graphs.knn_graph(b, 32)
     full = wide.select(F.col("src").alias("id"), F.col("dst").alias("cand")).join(b, "id").join(b.select(F.col("id").alias("cand"), F.col("vec").alias("cvec")), "cand")
-    return joined(graphs.prune_groups(full, NEIGHBOURS))
+    return joined(graphs.prune_groups(full, NEIGHBOURS).withColumn("nbrs", F.sort_array("nbrs")))
 
 
-@query()
+@query("SELECT vec_id, CAST(0 AS BIGINT) AS n_dead, true AS bounded FROM embeddings WHERE vec_id % 10 <> 3")
 def consolidate_deletes(spark, sf_dir):
+    """What holds for the lists after consolidation: no deleted row in them; those rebuilt are bounded, others as they were."""
     b = base(spark, sf_dir)
-    return joined(mutations.consolidate(nodes(b), deleted(b), 16).select("id", "nbrs"))
+    before = cut(nodes(b))
+    after = mutations.consolidate(before, deleted(b), 16)
+    dead = F.filter("nbrs", lambda x: x % 10 == 3)
+    old = before.select("shard", "id", F.col("nbrs").alias("old"))
+    return after.join(old, ["shard", "id"]).select(F.col("id").alias("vec_id"), F.size(dead).cast("long").alias("n_dead"), ((F.size("nbrs") <= 16) | (F.col("nbrs") == F.col("old"))).alias("bounded"))
 
 
-@query()
+INSERTED = {"inserted": 95, "consolidated": 95}
+
+
+@query(bound_sql({"inserted": 95}) + " UNION ALL " + bound_sql({"consolidated": 95}))
 def insert_points(spark, sf_dir):
-    b = base(spark, sf_dir)
-    old = b.filter(F.col("id") % STEP != 0)
-    new = b.filter(F.col("id") % STEP == 0)
-    return shown(graphs.search_graph(mutations.insert(nodes(old), new, 16, 64), asked(b), K, 64, 4))
+    """Recall after the rows asked for were inserted, and after other rows were inserted, deleted and taken out of the lists."""
+    b = base(spark, sf_dir)
+    q = asked(b)
+    first = cut(graphs.build_graph(b.filter(F.col("id") % STEP != 0).select(F.floor(F.col("id") / SHARD_ROWS).cast("long").alias("shard"), "id", "vec"), DEGREE, POOL))
+    grown = cut(mutations.insert(first, b.filter(F.col("id") % STEP == 0), DEGREE, POOL))
+    more = b.filter(F.col("id") % 10 == 3).select((-F.col("id") - 1).alias("id"), "vec")
+    whole = cut(mutations.insert(grown, more, DEGREE, POOL))
+    shrunk = cut(mutations.consolidate(whole, more, DEGREE))
+    return bounded(b, {"inserted": graphs.search_graph(grown, q, K, 64, 4), "consolidated": graphs.search_graph(shrunk, q, K, 64, 4)}, INSERTED)

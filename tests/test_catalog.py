@@ -1,4 +1,4 @@
-"""Every query against its SQL, or where it has none, against what must hold for it."""
+"""Every query against its SQL."""
 
 import pytest
 
@@ -11,39 +11,10 @@ def duck(sf_dir):
     return connect(sf_dir)
 
 
+def test_every_query_has_sql():
+    assert catalog.queries().keys() == catalog.oracle_sql().keys()
+
+
 @pytest.mark.parametrize("name", sorted(catalog.oracle_sql()))
 def test_query_matches_sql(name, spark, sf_dir, duck):
     assert_same(catalog.queries()[name](spark, sf_dir), duck, catalog.oracle_sql()[name])
-
-
-def test_recall_rises_with_the_pool(spark, sf_dir):
-    got = {r["pool"]: r["recall"] for r in catalog.queries()["graph_beam_recall"](spark, sf_dir).collect()}
-    assert got[10] <= got[40] <= got[100]
-    assert got[100] > 60
-
-
-def test_built_graph_has_bounded_degree_and_no_loops(spark, sf_dir):
-    edges = catalog.queries()["vamana_edges"](spark, sf_dir)
-    assert edges.filter("src = dst").count() == 0
-    nodes = catalog.built(catalog.base(spark, sf_dir))
-    assert nodes.selectExpr("max(size(nbrs))").first()[0] <= 16
-    assert nodes.count() == 2 * catalog.base(spark, sf_dir).count()
-
-
-def test_built_graph_finds_neighbours(spark, sf_dir):
-    got = {(r.qid, r.vec_id) for r in catalog.queries()["vamana_knn"](spark, sf_dir).collect()}
-    want = {(r.qid, r.vec_id) for r in catalog.queries()["knn_exact_l2"](spark, sf_dir).collect()}
-    assert len(got & want) / len(want) > 0.9
-
-
-def test_consolidation_leaves_no_deleted_node(spark, sf_dir):
-    rows = catalog.queries()["consolidate_deletes"](spark, sf_dir).collect()
-    assert all(r.vec_id % 10 != 3 for r in rows)
-    assert all(int(x) % 10 != 3 for r in rows for x in r.nbrs.split(",") if x)
-    assert max(len(r.nbrs.split(",")) for r in rows) <= 64
-
-
-def test_inserted_points_are_found(spark, sf_dir):
-    rows = catalog.queries()["insert_points"](spark, sf_dir).collect()
-    first = {r.qid: r.vec_id for r in rows if r["rank"] == 1}
-    assert all(q == v for q, v in first.items()) and len(first) == 10
