@@ -15,15 +15,15 @@ from ..operators.mutations import upsert_latest
 SCHEMA = "tag long, vec array<float>"
 
 
-def versions(spark: SparkSession, path: str) -> list[int]:
-    """Numbers of the complete versions under ``path``, through the file system Spark reads it with."""
+def versions(spark: SparkSession, path: str, last: str = "") -> list[int]:
+    """Numbers of the complete versions under ``path``, through the file system Spark reads it with; ``last`` is what is written last."""
     jvm = spark.sparkContext._jvm
     root = jvm.org.apache.hadoop.fs.Path(path)
     fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not fs.exists(root):
         return []
     names = [s.getPath().getName() for s in fs.listStatus(root)]
-    return sorted(int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit() and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS")))
+    return sorted(int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit() and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/{last}/_SUCCESS" if last else f"{path}/{n}/_SUCCESS")))
 
 
 def current(spark: SparkSession, path: str) -> DataFrame:

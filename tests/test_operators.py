@@ -41,9 +41,9 @@ def test_knn_in_blocks_is_the_same(spark):
     assert found(knn.exact_knn(line(spark), q, 3, block=2)) == found(knn.exact_knn(line(spark), q, 3))
 
 
-def test_knn_plan_refuses_unbounded_broadcast(spark):
-    with pytest.raises(ValueError):
-        knn.knn_plan(line(spark), ask(spark, 1, 2, 3), 1, most_queries=2)
+def test_knn_plan_in_blocks_is_the_same(spark):
+    one = knn.knn_plan(line(spark), ask(spark, 1, 2, 3), 2).collect()
+    assert sorted(map(tuple, one)) == sorted(map(tuple, knn.knn_plan(line(spark), ask(spark, 1, 2, 3), 2, block=1).collect()))
 
 
 def test_zero_vectors_and_unknown_metrics(spark):
