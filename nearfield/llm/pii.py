@@ -80,7 +80,7 @@ _PART = rf"(?!(?:{_NEXT_FORM}|{'|'.join(NO_NAMES)})(?!\w))(?:(?:[^\W\d_]\.)+(?![
 NAMED = re.compile(rf"(?<!\w){_FORM}\.?{_DEGREE}(?:[  ](?:(?:and|und|et|y|e|&)[  ])?{_NEXT_FORM}(?!\w)\.?{_DEGREE})*[  ]((?:(?:{'|'.join(sorted(PARTICLES))})[  ])*{_PART}(?:(?:[  ]|(?<=\.))(?:(?:{'|'.join(sorted(PARTICLES))})[  ])*{_PART})*)")
 LETTERS = re.compile(r"[^\W\d_]+")
 #: A capitalised word before another one, or before an initial: a name where the first is a given name.
-PAIR = re.compile(rf"(?<!\w)([^\W\d_]+)(?=(?:[  ](?:{'|'.join(sorted(PARTICLES))}))*[  ](?:[^\W\d_a-zß-ÿ][^\W\d_]|[^\W\d_a-zß-ÿ]\.))")
+PAIR = re.compile(rf"(?<!\w)([A-ZÀ-ÖØ-ÞЀ-Я][^\W\d_]+)(?=(?:[  ](?:{'|'.join(sorted(PARTICLES))}))*[  ](?:[^\W\d_a-zß-ÿ][^\W\d_]|[^\W\d_a-zß-ÿ]\.))")
 GIVEN = frozenset(w.capitalize() for w in [*MALE_NAMES, *FEMALE_NAMES])
 AFTER = re.compile(rf"(?:[  ](?:(?:{'|'.join(sorted(PARTICLES))})[  ])*{_PART})+")
 MENTION = re.compile(r"(?<![^\W_])[^\W\d_]+(?![^\W_])")
@@ -159,7 +159,7 @@ def _names(text: str) -> Iterator[tuple[int, str, str]]:
 
 def _given(text: str) -> Iterator[tuple[int, str, str]]:
     """(start, kind, value) of known given names with the capitalised words after them."""
-    for m in PAIR.finditer(text):
+    for m in PAIR.finditer(text):  # few texts hold more than a few capitalised words in a row
         if m.group(1) in GIVEN and (rest := AFTER.match(text, m.end())):
             words, n = list(re.finditer(r"[^\s.]+\.?", rest.group())), 0
             for k, w in enumerate(words):
