@@ -33,8 +33,8 @@ MIN_LETTER_PERCENT = 60
 #: Most rows of the sample on which cost and rejection are measured.
 SAMPLE_ROWS = 512
 #: How often a sample row is looked at in a run, timed runs of a rule, and the factor between costs that count as different.
-REPLICAS = 8
-RUNS = 3
+REPLICAS = 4
+RUNS = 2
 COST_STEP = 2.0
 
 SYMBOLS = "[#*$%&|<>]"
