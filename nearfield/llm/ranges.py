@@ -54,7 +54,11 @@ def in_ranges(rows: DataFrame, add_key: Callable[[DataFrame], DataFrame], key: l
     drawn = _bounds(rows, add_key, key, range_rows)
     heavy = sorted({a for a, b in zip(drawn, drawn[1:], strict=False) if a == b})
     bounds = sorted({*drawn, *(_after(k) for k in heavy)})
-    placed = add_key(rows).withColumn("_range", _place(bounds, key) if bounds else F.lit(0).cast("bigint"))
+    keyed = add_key(rows)
+    if not bounds:
+        return keyed.withColumn("_range", F.lit(0).cast("bigint")), None
+    # a generator, as a filter on _range would else be pushed below it and the key worked out anew at each step of the search
+    placed = keyed.select("*", F.explode(F.array(_place(bounds, key))).alias("_range"))
     return placed, F.array_contains(_numbers(bounds.index(k) + 1 for k in heavy), F.col("_range")) if heavy else None
 
 
