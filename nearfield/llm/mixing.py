@@ -36,6 +36,8 @@ MAX_COPIES = 3
 #: Buckets that spread documents of one size class by their ids, and rows that a range of the order should hold.
 BUCKETS = 32
 RANGE_ROWS = 1 << 15
+#: Bytes of the counts of ranges that are sent to all tasks; more go through a shuffle.
+MAX_BROADCAST = 1 << 24
 SEED = 17
 
 
@@ -118,6 +120,11 @@ def _groups(documents: DataFrame, seed: int, weights: tuple[int, ...], max_copie
     targets = source_targets(cells.groupBy("source").agg(F.sum("_words").cast("bigint").alias("source_size")), weights, max_copies)
     t = targets.select(F.col("source").alias("_name"), "source_size", "target")
     known = before.join(t, before["source"].eqNullSafe(t["_name"])).select(F.col("source").alias("_name"), F.col("_range").alias("_cell"), "_before", "source_size", "target")
+    if carry:
+        # held and of a known size before the join, which would else shuffle the texts again where it is planned too early
+        known = cut(known)
+        held = known.agg(F.sum(F.coalesce(F.octet_length("_name"), F.lit(0)) + 64)).collect()[0][0] or 0
+        known = F.broadcast(known) if held <= MAX_BROADCAST else known
     within = Window.partitionBy("source", "_range").orderBy(*KEY[1:]).rowsBetween(Window.unboundedPreceding, 0)
     ranked = placed.withColumn("_upto", F.sum("_n").over(within))
     same = ranked["source"].eqNullSafe(known["_name"]) & (ranked["_range"] == known["_cell"])
