@@ -7,7 +7,7 @@ best pair is merged and its new neighbours join the agenda. What ends up outside
 Units recur, so their ids are kept in two bounded generations of a table.
 
 Every unit that is not in the table, so each at least once, is checked against the sentencepiece library within its
-Arrow batch, and so is one whole text of each batch; a difference raises. Decoding is the library's own.
+Arrow batch, at most FRESH_UNITS at a time, and so is one whole text of each batch; a difference raises. Decoding is the library's own.
 
 Defined results: a null text counts as empty; an empty text is the end id alone and decodes to an empty text. Texts of
 any length are encoded whole. Rows keep their order and number, repeated ones give equal rows, an empty table gives an
@@ -32,6 +32,8 @@ BLANK = "▁"
 #: Units in one generation of the table, and the longest unit that is kept.
 KEPT_UNITS = 250_000
 KEPT_CHARS = 48
+#: Units that wait to be checked against the library.
+FRESH_UNITS = 8192
 
 
 class MergeEncoder:
@@ -75,6 +77,8 @@ class MergeEncoder:
         size = self.library.get_piece_size()
         self.code = {**self.ids, **{c: size + 1 + k for k, c in enumerate(lone)}}
         self.other = size
+        # one number of each id, however many units have it
+        self.own = list(range(size))
         rank = {s: k for k, s in enumerate(sorted(set(self.score.values()), reverse=True))}
         self.pairs: dict[int, int] = {}
         for piece, i in self.ids.items():
@@ -126,13 +130,13 @@ class MergeEncoder:
                 if v is not None:
                     push(agenda, v + (h << 20))
         if max(symbol) < other:
-            return tuple([s for s in symbol if s >= 0])
+            return tuple([self.own[s] for s in symbol if s >= 0])
         out: list[int] = []
         for c, s in zip(unit, symbol, strict=True):
             if s >= other:
                 out.extend(self._out(c))
             elif s >= 0:
-                out.append(s)
+                out.append(self.own[s])
         return tuple(out)
 
     def _out(self, symbol: str) -> tuple[int, ...]:
@@ -145,6 +149,8 @@ class MergeEncoder:
         if got is None:
             got = self.merge(unit)
             self.fresh.append((unit, got))
+            if len(self.fresh) >= FRESH_UNITS:
+                self.check()
         if len(unit) <= KEPT_CHARS:
             if len(self.young) >= KEPT_UNITS:
                 self.old, self.young = self.young, {}

@@ -204,6 +204,17 @@ def test_bounded_tables_of_units(monkeypatch):
     assert enc.encode(t) == enc.library.encode(t) and len(enc.young) <= 5
 
 
+def test_units_are_checked_in_bounded_lots_and_share_their_ids(monkeypatch):
+    monkeypatch.setattr(pieces, "FRESH_UNITS", 50)
+    enc = pieces.MergeEncoder(vocabulary_path())
+    t = " ".join(f"{chr(97 + i % 26)}word{chr(97 + i // 26)}" for i in range(600))
+    waited = []
+    check = enc.check
+    monkeypatch.setattr(enc, "check", lambda: (waited.append(len(enc.fresh)), check()))
+    assert enc.encode(t) == enc.library.encode(t) and max(waited) == 50 and len(enc.fresh) < 50
+    assert enc.merge("▁word")[0] is enc.merge("▁word")[0]
+
+
 def test_surrogates(spark, documents, odd):
     t = "Mr. John Smith (john.smith@corp.com, +1 (212) 555-7713) paid with 4111 1111 1111 1111 from 10.0.0.255; Frau Müller and John Smith's card 4111 1111 1111 1112 failed."
     new, found = pii.replace(t, KEY)
