@@ -1,8 +1,8 @@
 """SentencePiece encoding and decoding for merge-type (BPE) vocabularies, in Arrow batches.
 
 A text is escaped as the library does it: a dummy blank in front, every space as U+2581. It is cut into units over
-which no piece of the vocabulary reaches: runs of blanks with the characters after them, and characters that no longer
-piece has. Within a unit, adjacent symbol pairs that are pieces wait in an agenda ordered by score, leftmost first; the
+which no piece of the vocabulary reaches: runs of blanks with the characters after them, what follows a letter that no
+piece joins to letters (most marks), and characters that no longer piece has. Within a unit, adjacent symbol pairs that are pieces wait in an agenda ordered by score, leftmost first; the
 best pair is merged and its new neighbours join the agenda. What ends up outside the vocabulary becomes byte pieces.
 Units recur, so their ids are kept in two bounded generations of a table.
 
@@ -60,14 +60,29 @@ class MergeEncoder:
         if any(BLANK in p.lstrip(BLANK) for p in longer):
             self.unit = re.compile(r"(?s).+")  # pieces reach over blanks: a text is one unit
         else:
-            cls = "".join(map(re.escape, inner))
-            self.unit = re.compile(f"(?s){BLANK}+[{cls}]*|[{cls}]+|.") if inner else re.compile("(?s).")
+            marks, letters = (f"[{''.join(map(re.escape, c))}]" if c else "(?!)" for c in self._joined(inner, longer))
+            self.unit = re.compile(f"(?s){BLANK}+{marks}*{letters}*|{marks}+{letters}*|{letters}+|.") if inner else re.compile("(?s).")
         self._pairs(inner)
         self.newline_alone = "\n" not in inner
         self.young: dict[str, tuple[int, ...]] = {}
         self.old: dict[str, tuple[int, ...]] = {}
         self.fresh: list[tuple[str, tuple[int, ...]]] = []
 
+    @staticmethod
+    def _joined(inner: list[str], longer: list[str]) -> tuple[list[str], list[str]]:
+        """(marks, letters): the letters are all that pieces reach from a letter on, so that no piece has a mark behind them."""
+        after: dict[str, set[str]] = {}
+        for p in longer:
+            for a, b in zip(p, p[1:]):
+                after.setdefault(a, set()).add(b)
+        letters = {c for c in inner if c.isalpha()}
+        todo = list(letters)
+        while todo:
+            new = after.get(todo.pop(), set()) - letters - {BLANK}
+            letters |= new
+            todo += new
+        return [c for c in inner if c not in letters], [c for c in inner if c in letters]
+
     def _pairs(self, inner: list[str]) -> None:
         """Tables of the merges: a code for each symbol, and for each pair of codes the rank of the score and the piece.
 
@@ -77,8 +92,9 @@ class MergeEncoder:
         size = self.library.get_piece_size()
         self.code = {**self.ids, **{c: size + 1 + k for k, c in enumerate(lone)}}
         self.other = size
-        # one number of each id, however many units have it
+        # one number and one name of each id, however many units have it
         self.own = list(range(size))
+        self.names = list(map(str, self.own))
         rank = {s: k for k, s in enumerate(sorted(set(self.score.values()), reverse=True))}
         self.pairs: dict[int, int] = {}
         for piece, i in self.ids.items():
@@ -90,53 +106,54 @@ class MergeEncoder:
     def merge(self, unit: str) -> tuple[int, ...]:
         """Ids of a unit by the agenda of adjacent pairs.
 
-        An entry of the agenda is one number, in order: rank of the score, place of the left symbol, piece. It is stale
-        if its left symbol and what is right of it now don't make that piece.
+        An entry of the agenda is one number, in order: rank of the score, place of the left symbol, piece. ``now`` has
+        the entry of each left symbol; another one is stale.
         """
-        code, pairs, other, n = self.code, self.pairs, self.other, len(unit)
+        code, pairs, other, own, n = self.code, self.pairs, self.other, self.own, len(unit)
         places = 0xFFFF
         if n > places:  # a place needs more bits
             pairs, places = {k: v >> 36 << 60 | v & 0xFFFFF for k, v in pairs.items()}, 0xFFFFFFFFFF
+        find = pairs.get
         symbol = [code.get(c, other) for c in unit]
         right = list(range(1, n + 1))
         left = list(range(-1, n - 1))
-        agenda = []
-        for i in range(n - 1):
-            v = pairs.get(symbol[i] << 20 | symbol[i + 1])
-            if v is not None:
-                agenda.append(v + (i << 20))
+        now = [None if (v := find(a << 20 | b)) is None else v + (i << 20) for i, (a, b) in enumerate(zip(symbol, symbol[1:]))]
+        now.append(None)
+        agenda = [e for e in now if e is not None]
         heapq.heapify(agenda)
         push, pop = heapq.heappush, heapq.heappop
         while agenda:
             e = pop(agenda)
             i = e >> 20 & places
-            a, j = symbol[i], right[i]
-            if a < 0 or j >= n:
-                continue
-            v = pairs.get(a << 20 | symbol[j])
-            if v is None or v + (i << 20) != e:
+            if now[i] != e:
                 continue
-            symbol[i] = m = v & 0xFFFFF
+            j = right[i]
+            symbol[i] = m = e & 0xFFFFF
             symbol[j] = -1
+            now[i] = now[j] = None
             right[i] = k = right[j]
             if k < n:
                 left[k] = i
-                v = pairs.get(m << 20 | symbol[k])
+                v = find(m << 20 | symbol[k])
                 if v is not None:
-                    push(agenda, v + (i << 20))
+                    now[i] = v = v + (i << 20)
+                    push(agenda, v)
             h = left[i]
             if h >= 0:
-                v = pairs.get(symbol[h] << 20 | m)
-                if v is not None:
-                    push(agenda, v + (h << 20))
+                v = find(symbol[h] << 20 | m)
+                if v is None:
+                    now[h] = None
+                else:
+                    now[h] = v = v + (h << 20)
+                    push(agenda, v)
         if max(symbol) < other:
-            return tuple([self.own[s] for s in symbol if s >= 0])
+            return tuple([own[s] for s in symbol if s >= 0])
         out: list[int] = []
         for c, s in zip(unit, symbol, strict=True):
             if s >= other:
                 out.extend(self._out(c))
             elif s >= 0:
-                out.append(self.own[s])
+                out.append(own[s])
         return tuple(out)
 
     def _out(self, symbol: str) -> tuple[int, ...]:
@@ -202,7 +219,7 @@ SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
 def digest_row(enc: MergeEncoder, text: str, ids: list[int]) -> tuple[int, str, str]:
-    line = repr(ids)[1:-1].replace(",", "")
+    line = " ".join(map(enc.names.__getitem__, ids))
     return len(ids), hashlib.sha256(line.encode()).hexdigest(), hashlib.sha256(enc.library.decode(ids).encode("utf-8")).hexdigest()
 
 

@@ -215,6 +215,16 @@ def test_units_are_checked_in_bounded_lots_and_share_their_ids(monkeypatch):
     assert enc.merge("▁word")[0] is enc.merge("▁word")[0]
 
 
+def test_units_end_before_marks():
+    enc = pieces.MergeEncoder(vocabulary_path())
+    assert enc.unit.findall("▁word,▁word.▁(word)▁a.b") == ["▁word", ",", "▁word", ".", "▁(word", ")", "▁a", ".b"]
+    t = " ".join(f"{'(' * (i % 3)}{chr(97 + i % 26)}word{chr(97 + i // 26)}{',' * (i % 2)}x{i}.y's" for i in range(600))
+    ids = enc.encode(t)
+    enc.check()
+    assert ids == enc.library.encode(t)
+    assert pieces.digest_row(enc, t, ids)[1] == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+
+
 def test_surrogates(spark, documents, odd):
     t = "Mr. John Smith (john.smith@corp.com, +1 (212) 555-7713) paid with 4111 1111 1111 1111 from 10.0.0.255; Frau Müller and John Smith's card 4111 1111 1111 1112 failed."
     new, found = pii.replace(t, KEY)
