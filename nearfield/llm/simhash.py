@@ -224,7 +224,8 @@ def links(classes: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
     """(a, b): forest edges between different fingerprints that differ in three bits or fewer."""
     every = keyed(classes)
     shared = every.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    counted = every.join(shared, "key")
+    # by sort-merge: what Spark takes from the classes for the size of their keys is far too low, and it would broadcast them
+    counted = every.hint("merge").join(shared.hint("merge"), "key")
     blocks = F.ceil(F.col("n") / group_rows).cast("int")
     met = (
         counted.withColumn("own", F.pmod(F.xxhash64("fp"), blocks).cast("int"))

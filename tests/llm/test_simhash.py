@@ -104,3 +104,12 @@ def test_long_chain_is_one_component(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(1000, 1001)], "a long, b long")
     got = {r.node: r.root for r in simhash.components(edges).collect()}
     assert all(got[i] == 0 for i in range(201)) and got[1001] == 1000
+
+
+def test_keys_are_never_broadcast(spark):
+    # 54 keys a fingerprint, of which Spark knows nothing: by its own count the join would be small enough to broadcast
+    rng = np.random.default_rng(11)
+    rows = [(int(x),) for x in rng.integers(-(2**63), 2**63 - 1, 3000, dtype=np.int64)]
+    found = simhash.links(spark.createDataFrame(rows + [(rows[0][0] ^ 1,)], "fp long").groupBy("fp").agg(F.count(F.lit(1))))
+    assert len(found.collect()) == 1
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
