@@ -3,9 +3,10 @@
 ``exact_knn`` is the main path: a bounded block of queries goes to every task, which computes distances by matrix
 products over its Arrow batches and holds the ``k`` nearest rows of each query; one shuffle of at most tasks * queries *
 k narrow rows merges them. Query sets beyond BLOCK are taken block by block: the driver holds one block at a time, whose
-result is written to the shared folder before the next is fetched. ``knn_plan`` is the same as a plain relational plan,
-for composition with filters in SQL. ``knn_all`` makes every row a query without the driver seeing any: rows are routed to
-clusters that may hold nearer ones by the triangle inequality and compared on the executors.
+result is written to the shared folder before the next is fetched. ``knn_plan`` is the same as one lazy plan, for
+composition with filters in SQL: a join of blocks of both sides, so that the driver sees neither. ``knn_all`` makes every
+row a query without the driver seeing any: rows are routed to clusters that may hold nearer ones by the triangle inequality
+and compared on the executors.
 """
 
 from __future__ import annotations
@@ -23,8 +24,14 @@ from ..session import cut, ship
 #: Queries compared in one pass, and matrix cells computed at once in a task.
 BLOCK = 2048
 CELLS = 1 << 21
-#: Rows that a cell, or a block of it, should hold.
-CELL_ROWS = 4096
+#: Cells of a matrix from which candidates are selected, which should stay in a core's cache.
+SELECTED = 1 << 20
+#: Rows that a cell, or a block of it, should hold, and numbers in the vectors of a block: the larger the blocks, the fewer
+#: times a row is sent.
+CELL_ROWS = 1 << 15
+BLOCK_CELLS = 1 << 22
+#: Squared lengths within which single precision selects candidates.
+SINGLE = (1e-20, 1e30)
 
 
 def top_k(df: DataFrame, k: int, by: str = "qid", id: str = "id") -> DataFrame:
@@ -67,8 +74,13 @@ def slack(metric: str, queries: np.ndarray, base: np.ndarray) -> np.ndarray:
     return 1e-9 + 8 * np.finfo(np.float64).eps * base.shape[1] * ((queries**2).sum(1) + longest)
 
 
-def nearest(metric: str, qids: np.ndarray, queries: np.ndarray, ids: np.ndarray, base: np.ndarray, k: int):
-    """(qid, id, dist) of the ``k`` nearest rows of each query; selected by product, settled by direct differences."""
+def nearest(metric: str, qids: np.ndarray, queries: np.ndarray, ids: np.ndarray, base: np.ndarray, k: int, limits: np.ndarray | None = None):
+    """(qid, id, dist) of the ``k`` nearest rows of each query; selected by product, settled by direct differences.
+
+    With ``limits`` (NaN: none) rows farther than a query's limit are passed over.
+    """
+    if metric == "l2":
+        return _nearest_l2(qids, queries, ids, base, k, limits)
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     step = max(1, CELLS // max(len(base), 1))
     for at in range(0, len(queries), step):
@@ -88,6 +100,70 @@ def nearest(metric: str, qids: np.ndarray, queries: np.ndarray, ids: np.ndarray,
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
+def _nearest_l2(qids, queries, ids, base, k, limits):
+    """``nearest`` by squared distance, a block of queries at once.
+
+    A matrix product gives distances less the query's squared length, in single precision where the lengths allow it; what
+    lies within the rounding of the k-th of them, or of the limit, is settled by direct differences in double precision.
+    """
+    none = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+    if not len(queries) or not len(base):
+        return none
+    m, dim = base.shape
+    lengths, own = (base**2).sum(1), (queries**2).sum(1)
+    longest = lengths.max()
+    single = SINGLE[0] < longest and max(longest, own.max()) < SINGLE[1]
+    kind = np.float32 if single else np.float64
+    right = np.concatenate([-2 * base, lengths[:, None]], 1).astype(kind).T
+    off = (2 * dim + 16) * np.finfo(kind).eps * (own + longest) + slack("l2", queries, base)
+    step = max(1, SELECTED // m)
+    out = []
+    for at in range(0, len(queries), step):
+        q, more = queries[at : at + step], off[at : at + step]
+        rough = np.concatenate([q, np.ones((len(q), 1))], 1).astype(kind) @ right
+        bound = np.full(len(q), np.inf) if limits is None else limits[at : at + step] - own[at : at + step]
+        bound = np.where(np.isnan(bound), np.inf, bound) + more
+        free = ~np.isfinite(bound)
+        if m > k and free.any():
+            bound[free] = _kth(rough if free.all() else rough[free], k) + 2 * more[free]
+        if m > k or limits is not None:
+            r, c = np.divmod(np.flatnonzero(rough <= _single(bound, kind)[:, None]), m)
+            many = np.bincount(r, minlength=len(q)) > 4 * k
+            if many.any():  # a limit that leaves far more than k
+                bound[many] = np.minimum(bound[many], _kth(rough[many], k) + 2 * more[many])
+                left = ~many[r]
+                x, y = np.divmod(np.flatnonzero(rough[many] <= _single(bound[many], kind)[:, None]), m)
+                r, c = np.concatenate([r[left], np.flatnonzero(many)[x]]), np.concatenate([c[left], y])
+        else:
+            r, c = np.divmod(np.arange(len(q) * m), m)
+        d = np.empty(len(r))
+        for i in range(0, len(r), max(1, CELLS // dim)):
+            part = slice(i, i + max(1, CELLS // dim))
+            d[part] = ((base[c[part]] - q[r[part]]) ** 2).sum(1)
+        order = np.lexsort((ids[c], d, r))
+        r, c, d = r[order], c[order], d[order]
+        each = np.bincount(r, minlength=len(q))
+        first = np.arange(len(r)) - np.repeat(np.cumsum(each) - each, each) < k
+        out.append((qids[at : at + step][r[first]], ids[c[first]], d[first]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def _kth(rough: np.ndarray, k: int) -> np.ndarray:
+    """For each row a number that at least ``k`` of its cells don't exceed: the k-th least, or of long rows that of minima."""
+    groups = 16 * k
+    if rough.shape[1] < 4 * groups:
+        return np.partition(rough, k - 1, axis=1)[:, k - 1].astype(np.float64)
+    least = rough[:, :groups].copy()
+    for at in range(groups, rough.shape[1] - groups + 1, groups):
+        np.minimum(least, rough[:, at : at + groups], out=least)
+    return np.partition(least, k - 1, axis=1)[:, k - 1].astype(np.float64)
+
+
+def _single(bound: np.ndarray, kind) -> np.ndarray:
+    """``bound`` in the type of the distances, never lower."""
+    return bound if kind is np.float64 else np.nextafter(bound.astype(np.float32), np.float32(np.inf))
+
+
 def first_k(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The ``k`` nearest of each query among several results."""
     q, i, d = (np.concatenate(x) for x in zip(*found, strict=True))
@@ -149,30 +225,35 @@ def exact_knn(base: DataFrame, queries: DataFrame, k: int, metric: str = "l2", b
     return by_block(queries, answer, block)
 
 
-def knn_plan(base: DataFrame, queries: DataFrame, k: int, metric: str = "l2", block: int = BLOCK) -> DataFrame:
-    """``exact_knn`` as a relational plan: the query set is counted and joined in blocks that may be broadcast."""
-    blocks = max(1, -(-queries.count() // block))
-    found = None
-    for b in range(blocks):
-        part = queries.select("qid", "qvec").filter(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b)
-        pairs = base.select("id", "vec").crossJoin(F.broadcast(part))
-        scored = pairs.select("qid", "id", distance(metric)(F.col("qvec"), F.col("vec")).alias("dist")).filter("dist IS NOT NULL")
-        best = top_k(scored, k).select("qid", "rank", "id", "dist")
-        found = best if found is None else found.unionByName(best)
-    return found
+def knn_plan(base: DataFrame, queries: DataFrame, k: int, metric: str = "l2", block: int | None = None) -> DataFrame:
+    """``exact_knn`` as one lazy plan: blocks of the base and of the queries are joined, every pair in a task."""
+    whole = F.lit(0).cast("long").alias("cell")
+    rows = base.filter("vec IS NOT NULL").select(whole, "id", "vec")
+    asked = queries.filter("qvec IS NOT NULL").select(whole, "qid", "qvec")
+    return top_k(routed(rows, asked, k, metric, asked_rows=block), k).select("qid", "rank", "id", "dist")
+
 
+def block_rows(vectors: DataFrame, vec: str = "vec") -> int:
+    """Rows of a block, by the length of the vectors."""
+    first = vectors.filter(F.col(vec).isNotNull()).select(F.size(vec)).first()
+    return max(1, min(CELL_ROWS, BLOCK_CELLS // max(1, first[0] if first else 1)))
 
-def routed(base: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(cell, qid, id, dist): for ``queries`` (qid, qvec, cell) the ``k`` nearest rows of ``base`` (id, vec, cell) in their cell.
 
-    A cell of many rows or queries is cut into blocks; every pair of blocks is a group of its own.
+def routed(base: DataFrame, queries: DataFrame, k: int, metric: str = "l2", asked_rows: int | None = None) -> DataFrame:
+    """(cell, qid, id, dist): for ``queries`` (qid, qvec, cell[, _reach]) the ``k`` nearest rows of ``base`` (id, vec, cell) in their cell.
+
+    A cell of many rows or queries is cut into blocks; every pair of blocks is a group of its own. Rows farther than a
+    query's _reach, where it has one, may be left out.
     """
-    count = lambda df: df.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / CELL_ROWS).cast("int").alias("_n"))
-    sizes = count(base).withColumnRenamed("_n", "_bases").join(count(queries).withColumnRenamed("_n", "_asked"), "cell")
+    distance(metric)
+    most = block_rows(base)
+    count = lambda df, most: df.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias("_n"))
+    sizes = count(base, most).withColumnRenamed("_n", "_bases").join(count(queries, asked_rows or most).withColumnRenamed("_n", "_asked"), "cell")
     own = lambda id, n: F.pmod(F.xxhash64(id), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     rows = base.join(sizes, "cell").select("cell", own("id", "_bases").alias("i"), every("_asked").alias("j"), "id", "vec")
-    asked = queries.join(sizes, "cell").select("cell", every("_bases").alias("i"), own("qid", "_asked").alias("j"), "qid", "qvec")
+    limited = "_reach" in queries.columns
+    asked = queries.join(sizes, "cell").select("cell", every("_bases").alias("i"), own("qid", "_asked").alias("j"), "qid", "qvec", *(["_reach"] if limited else []))
 
     schema = pa.schema([("cell", pa.int64()), ("qid", pa.int64()), ("id", pa.int64()), ("dist", pa.float64())])
 
@@ -180,12 +261,13 @@ def routed(base: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         if not q.num_rows or not b.num_rows:
             return schema.empty_table()
         q, b = q.combine_chunks(), b.combine_chunks()
-        found = nearest("l2", q.column("qid").to_numpy(), matrix(q.column("qvec")), b.column("id").to_numpy(), matrix(b.column("vec")), k)
+        limits = q.column("_reach").to_numpy(zero_copy_only=False).astype(float) if limited else None
+        found = nearest(metric, q.column("qid").to_numpy(), matrix(q.column("qvec")), b.column("id").to_numpy(), matrix(b.column("vec")), k, limits)
         return pa.table([np.full(len(found[0]), key[0].as_py()), *found], schema=schema)
 
     ship(base.sparkSession)
     key = ["cell", "i", "j"]
-    asked = asked.select(*[F.col(c).alias(f"q_{c}") for c in key], F.col("qid").alias("qid"), F.col("qvec").alias("qvec"))  # columns of its own
+    asked = asked.select(*[F.col(c).alias(f"q_{c}") for c in key], *[F.col(c).alias(c) for c in asked.columns if c not in key])  # columns of its own
     return asked.groupBy(*[f"q_{c}" for c in key]).cogroup(rows.groupBy(*key)).applyInArrow(run, "cell long, qid long, id long, dist double")
 
 
@@ -200,7 +282,7 @@ def knn_all(vectors: DataFrame, k: int, centers: tuple[np.ndarray, np.ndarray] |
     rows = vectors.select("id", "vec").filter("vec IS NOT NULL")
     if centers is None:
         n = rows.count()
-        centers = clusters.seed_random(rows, max(1, min(clusters.MAX_CENTERS, n // CELL_ROWS)))
+        centers = clusters.seed_random(rows, max(1, min(clusters.MAX_CENTERS, n // block_rows(rows))))
     near = clusters.nearest_centers(rows, centers)
     placed = cut(near.select("id", F.col("center").alias("cell"), F.col("dist").alias("_far")).join(rows, "id"))
     radius = dict(placed.groupBy("cell").agg(F.max("_far")).collect())  # a number a center
@@ -229,10 +311,10 @@ def knn_all(vectors: DataFrame, k: int, centers: tuple[np.ndarray, np.ndarray] |
                 own = b.column("cell").to_numpy()
                 r, c = np.nonzero(((d - far) * (1 - 1e-9) <= reach[:, None] * (1 + 1e-9)) | np.isnan(reach)[:, None])
                 r, c = r[numbers[c] != own[r]], c[numbers[c] != own[r]]
-                yield pa.RecordBatch.from_arrays([b.column("qid").take(pa.array(r)), b.column("qvec").take(pa.array(r)), pa.array(numbers[c])], ["qid", "qvec", "cell"])
+                yield pa.RecordBatch.from_arrays([b.column("qid").take(pa.array(r)), b.column("qvec").take(pa.array(r)), pa.array(numbers[c]), b.column("_reach").take(pa.array(r))], ["qid", "qvec", "cell", "_reach"])
 
     ship(vectors.sparkSession)
-    others = bounded.select("qid", "qvec", "cell", "_reach").mapInArrow(route, f"qid long, qvec {dict(asked.dtypes)['qvec']}, cell long")
+    others = bounded.select("qid", "qvec", "cell", "_reach").mapInArrow(route, f"qid long, qvec {dict(asked.dtypes)['qvec']}, cell long, _reach double")
     return top_k(home.unionByName(routed(base, others, k).select("qid", "id", "dist")), k).select("qid", "rank", "id", "dist")
 
 
