@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from nearfield.operators import graphs, mutations
+from nearfield.operators import graphs, knn, mutations
 
 
 def test_new_copies_near_a_hub_are_found(spark):
@@ -17,3 +17,46 @@ def test_new_copies_near_a_hub_are_found(spark):
     queries = spark.createDataFrame([(1, [0.01, 0.0, 0.0, 0.0])], "qid long, qvec array<float>")
     found = {r.id for r in graphs.search_graph(out, queries, 160, 400).collect()}
     assert found == {*range(60), *range(1000, 1100)}
+
+
+def test_a_full_pool_is_followed_once_for_all_queries():
+    rng = np.random.default_rng(3)
+    vecs = np.round(rng.normal(size=(90, 3)))  # with ties and equal rows
+    nbrs = [np.unique(rng.integers(0, 60, 2)) if i < 60 else np.array([60 + (i + 1) % 30]) for i in range(90)]
+    shard = graphs.Shard(np.arange(90, dtype=np.int64) * 2, vecs, nbrs, pages=np.arange(90) // 7)
+    gone = rng.random(90) < 0.3
+    queries = vecs[:20]
+    for own in ([None] * 20, [[3, 70] if i % 2 else [61] for i in range(20)]):
+        for mode, dead in (("beam", None), ("page", gone), ("pipe", gone)):
+            at_once = graphs.exhaust(shard, queries, 7, own, dead, mode == "page")
+            for q, starts, (place, d) in zip(queries, own, at_once, strict=True):
+                want, far = graphs.search_shard(shard, q, 7, 90, 4, mode, starts=starts, deleted=dead)
+                assert place.tolist() == want.tolist() and np.allclose(d, far)
+
+
+def test_the_plan_joins_blocks(spark):
+    base = spark.createDataFrame([(i, [float(i)]) for i in range(30)], "id long, vec array<float>")
+    asked = base.selectExpr("id AS qid", "vec AS qvec").filter("qid % 7 = 0")
+    found = knn.knn_plan(base, asked, 2, block=2)
+    assert {(r.qid, r.id) for r in found.collect()} >= {(q, q) for q in range(0, 30, 7)}
+    assert "CoGroup" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_nearest_settles_what_single_precision_leaves_open():
+    rng = np.random.default_rng(4)
+    for scale, shift in ((1.0, 0.0), (1.0, 1e4), (1e-22, 0.0), (1e19, 0.0)):
+        x = (rng.normal(size=(3000, 16)) + shift) * scale
+        x[100:400] = x[7]
+        far = ((x[:40, None] - x[None]) ** 2).sum(2)
+        want = [np.lexsort((np.arange(3000), d))[:5] for d in far]
+        q, i, d = knn.nearest("l2", np.arange(40), x[:40], np.arange(3000), x, 5)
+        assert i.tolist() == np.concatenate(want).tolist() and np.allclose(d, np.take_along_axis(far, np.array(want), 1).ravel())
+        limits = np.array([np.nan, *np.sort(far, 1)[1:, 2]])
+        q, i, d = knn.nearest("l2", np.arange(40), x[:40], np.arange(3000), x, 5, limits)
+        assert all(set(w[:3].tolist()) <= set(i[q == n].tolist()) for n, w in enumerate(want))
+
+
+def test_edges_are_found_once_and_held(spark):
+    vectors = spark.createDataFrame([(i, [float(i)]) for i in range(30)], "id long, vec array<float>")
+    edges = graphs.knn_graph(vectors, 2)
+    assert "CoGroup" not in graphs.reverse_edges(edges)._jdf.queryExecution().executedPlan().toString()
