@@ -60,3 +60,10 @@ def test_edges_are_found_once_and_held(spark):
     vectors = spark.createDataFrame([(i, [float(i)]) for i in range(30)], "id long, vec array<float>")
     edges = graphs.knn_graph(vectors, 2)
     assert "CoGroup" not in graphs.reverse_edges(edges)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_copies_are_reached_within_the_degree():
+    vecs = np.repeat(np.random.default_rng(5).normal(size=(6, 8)), 50, 0)
+    shard = graphs.build_shard(np.arange(300, dtype=np.int64), vecs, 8, 16)
+    assert len(shard.closure(shard.entries)) == 300
+    assert max(map(len, shard.nbrs)) <= 8 and all(i not in x and len(set(x.tolist())) == len(x) for i, x in enumerate(shard.nbrs))
