@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,6 +31,15 @@ SELECTED = 1 << 20
 #: times a row is sent.
 CELL_ROWS = 1 << 15
 BLOCK_CELLS = 1 << 22
+#: Blocks into which all rows are cut at least where each has LEAST_ROWS, so that there are more pairs of them than cores,
+#: and most tasks the pairs are dealt to.
+BLOCKS, LEAST_ROWS, PAIR_TASKS = 8, 1 << 11, 1 << 10
+#: Share of rows and cells left by the triangle inequality from which on all pairs are compared, each once.
+ROUTED = 0.4
+#: Neighbours held before they are cut to the nearest.
+HELD = 1 << 22
+#: Rows of both sides whose distances are worked out at once, which should stay in a core's cache.
+TILE = 256, 2048
 #: Squared lengths within which single precision selects candidates.
 SINGLE = (1e-20, 1e30)
 
@@ -148,6 +158,51 @@ def _nearest_l2(qids, queries, ids, base, k, limits):
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
+def both_ways(ids: tuple[np.ndarray, np.ndarray], vecs: tuple[np.ndarray, np.ndarray], limits: tuple[np.ndarray, np.ndarray], k: int, one: bool = False):
+    """(qid, id, dist): up to ``k`` rows within each row's limit (NaN: none) on the other side, for the rows of both sides.
+
+    Each pair is compared once, as in ``nearest`` by squared distance. With ``one`` both sides are the same rows, and a row
+    isn't its own neighbour.
+    """
+    none = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+    (a, b), m = vecs, len(vecs[1])
+    if not len(a) or not m:
+        return none
+    lengths = [(x**2).sum(1) for x in vecs]
+    longest = max(x.max() for x in lengths)
+    kind = np.float32 if SINGLE[0] < longest < SINGLE[1] else np.float64
+    off = (2 * a.shape[1] + 16) * np.finfo(kind).eps * 2 * longest + max(slack("l2", x, y).max() for x, y in ((a, b), (b, a)))
+    left = np.concatenate([a, np.ones((len(a), 1)), lengths[0][:, None]], 1).astype(kind)
+    right = np.concatenate([-2 * b, lengths[1][:, None], np.ones((m, 1))], 1).astype(kind).T
+    near, far = (_single(np.where(np.isnan(x), np.inf, x) + off, kind) for x in limits)
+    every = max(1, CELLS // a.shape[1])
+    rough, close, too = np.empty(TILE, kind), np.empty(TILE, bool), np.empty(TILE, bool)
+    columns = [(x, np.ascontiguousarray(right[:, x : x + TILE[1]])) for x in range(0, m, TILE[1])]
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for at in range(0, len(a), TILE[0]):
+        rows, found = left[at : at + TILE[0]], []
+        for x, part in columns:
+            n, w = len(rows), part.shape[1]
+            full = (n, w) == TILE
+            d, hit, more = (rough, close, too) if full else (np.empty((n, w), kind), np.empty((n, w), bool), np.empty((n, w), bool))
+            np.matmul(rows, part, out=d)
+            np.less_equal(d, near[at : at + n, None], out=hit)
+            if not one:
+                np.logical_or(hit, np.less_equal(d, far[x : x + w], out=more), out=hit)
+            r, c = np.divmod(np.flatnonzero(hit), w)
+            found.append((r + at, c + x))
+        r, c = (np.concatenate(x) for x in zip(*found, strict=True))
+        if one:
+            r, c = r[ids[0][r] != ids[1][c]], c[ids[0][r] != ids[1][c]]
+        d = np.concatenate([none[2], *[((b[c[i : i + every]] - a[r[i : i + every]]) ** 2).sum(1) for i in range(0, len(r), every)]])
+        for q, i, limit in [(ids[0][r], ids[1][c], limits[0][r]), (ids[1][c], ids[0][r], limits[1][c])][: 1 if one else 2]:
+            inside = ~(d > limit * (1 + 1e-9) + 1e-30)
+            held.append(first_k([(q[inside], i[inside], d[inside])], k))
+        if sum(len(x[0]) for x in held) > HELD:
+            held = [first_k(held, k)]
+    return first_k(held, k) if held else none
+
+
 def _kth(rough: np.ndarray, k: int) -> np.ndarray:
     """For each row a number that at least ``k`` of its cells don't exceed: the k-th least, or of long rows that of minima."""
     groups = 16 * k
@@ -239,14 +294,14 @@ def block_rows(vectors: DataFrame, vec: str = "vec") -> int:
     return max(1, min(CELL_ROWS, BLOCK_CELLS // max(1, first[0] if first else 1)))
 
 
-def routed(base: DataFrame, queries: DataFrame, k: int, metric: str = "l2", asked_rows: int | None = None) -> DataFrame:
+def routed(base: DataFrame, queries: DataFrame, k: int, metric: str = "l2", asked_rows: int | None = None, most: int | None = None, tasks: int | None = None) -> DataFrame:
     """(cell, qid, id, dist): for ``queries`` (qid, qvec, cell[, _reach]) the ``k`` nearest rows of ``base`` (id, vec, cell) in their cell.
 
-    A cell of many rows or queries is cut into blocks; every pair of blocks is a group of its own. Rows farther than a
-    query's _reach, where it has one, may be left out.
+    A cell of many rows or queries is cut into blocks of ``most`` rows; every pair of blocks is a group of its own, dealt
+    to ``tasks`` tasks where that is given. Rows farther than a query's _reach, where it has one, may be left out.
     """
     distance(metric)
-    most = block_rows(base)
+    most = most or block_rows(base)
     count = lambda df, most: df.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias("_n"))
     sizes = count(base, most).withColumnRenamed("_n", "_bases").join(count(queries, asked_rows or most).withColumnRenamed("_n", "_asked"), "cell")
     own = lambda id, n: F.pmod(F.xxhash64(id), F.col(n)).cast("int")
@@ -268,6 +323,8 @@ def routed(base: DataFrame, queries: DataFrame, k: int, metric: str = "l2", aske
     ship(base.sparkSession)
     key = ["cell", "i", "j"]
     asked = asked.select(*[F.col(c).alias(f"q_{c}") for c in key], *[F.col(c).alias(c) for c in asked.columns if c not in key])  # columns of its own
+    if tasks:  # small groups of much work would be merged by their size
+        asked, rows = asked.repartition(tasks, *[f"q_{c}" for c in key]), rows.repartition(tasks, *key)
     return asked.groupBy(*[f"q_{c}" for c in key]).cogroup(rows.groupBy(*key)).applyInArrow(run, "cell long, qid long, id long, dist double")
 
 
@@ -275,20 +332,23 @@ def knn_all(vectors: DataFrame, k: int, centers: tuple[np.ndarray, np.ndarray] |
     """(qid, rank, id, dist): the ``k`` exact nearest other rows, by squared distance, of every row (id, vec).
 
     Rows belong to the cell of their nearest center. Each is first held against its own cell; what it finds bounds how far
-    another cell's center may be, less that cell's radius, to hold anything nearer, and it goes to those cells only.
+    another cell's center may be, less that cell's radius, to hold anything nearer, and it goes to those cells only. Where
+    that leaves most cells to most rows, blocks by a hash are compared instead, every pair of rows once for both of them.
     """
     from . import clusters
 
     rows = vectors.select("id", "vec").filter("vec IS NOT NULL")
+    n = rows.count()
+    most = min(block_rows(rows), max(LEAST_ROWS, -(-n // BLOCKS)))
+    blocks = max(1, -(-n // most))
     if centers is None:
-        n = rows.count()
-        centers = clusters.seed_random(rows, max(1, min(clusters.MAX_CENTERS, n // block_rows(rows))))
+        centers = clusters.seed_random(rows, min(clusters.MAX_CENTERS, blocks))
     near = clusters.nearest_centers(rows, centers)
     placed = cut(near.select("id", F.col("center").alias("cell"), F.col("dist").alias("_far")).join(rows, "id"))
     radius = dict(placed.groupBy("cell").agg(F.max("_far")).collect())  # a number a center
     base = placed.select("id", "vec", "cell")
     asked = placed.select(F.col("id").alias("qid"), F.col("vec").alias("qvec"), "cell")
-    home = routed(base, asked, k + 1).select("qid", "id", "dist").filter("qid <> id")
+    home = routed(base, asked, k + 1, most=most, tasks=min(PAIR_TASKS, 4 * blocks)).select("qid", "id", "dist").filter("qid <> id")
     if len(radius) < 2:
         return top_k(home, k).select("qid", "rank", "id", "dist")
     home = cut(top_k(home, k).select("qid", "id", "dist"))
@@ -299,7 +359,7 @@ def knn_all(vectors: DataFrame, k: int, centers: tuple[np.ndarray, np.ndarray] |
     far = np.sqrt([radius[c] for c in held])
     shipped = vectors.sparkSession.sparkContext.broadcast((np.array(held, np.int64), points, far))
 
-    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def route(batches: Iterator[pa.RecordBatch], count: bool = False) -> Iterator[pa.RecordBatch]:
         numbers, points, far = shipped.value
         for whole in batches:
             step = max(1, CELLS // len(numbers))
@@ -311,11 +371,42 @@ def knn_all(vectors: DataFrame, k: int, centers: tuple[np.ndarray, np.ndarray] |
                 own = b.column("cell").to_numpy()
                 r, c = np.nonzero(((d - far) * (1 - 1e-9) <= reach[:, None] * (1 + 1e-9)) | np.isnan(reach)[:, None])
                 r, c = r[numbers[c] != own[r]], c[numbers[c] != own[r]]
+                if count:
+                    yield pa.RecordBatch.from_arrays([pa.array([len(r)], pa.int64())], ["n"])
+                    continue
                 yield pa.RecordBatch.from_arrays([b.column("qid").take(pa.array(r)), b.column("qvec").take(pa.array(r)), pa.array(numbers[c]), b.column("_reach").take(pa.array(r))], ["qid", "qvec", "cell", "_reach"])
 
     ship(vectors.sparkSession)
-    others = bounded.select("qid", "qvec", "cell", "_reach").mapInArrow(route, f"qid long, qvec {dict(asked.dtypes)['qvec']}, cell long, _reach double")
-    return top_k(home.unionByName(routed(base, others, k).select("qid", "id", "dist")), k).select("qid", "rank", "id", "dist")
+    bounded = cut(bounded.select("qid", "qvec", "cell", "_reach"))
+    routes = bounded.mapInArrow(lambda batches: route(batches, True), "n long").agg(F.sum("n")).first()[0] or 0
+    if routes > ROUTED * n * (len(held) - 1):
+        return top_k(all_pairs(bounded.select(F.col("qid").alias("id"), F.col("qvec").alias("vec"), "_reach"), k, blocks), k).select("qid", "rank", "id", "dist")
+    others = bounded.mapInArrow(route, f"qid long, qvec {dict(asked.dtypes)['qvec']}, cell long, _reach double")
+    return top_k(home.unionByName(routed(base, others, k, most=most, tasks=min(PAIR_TASKS, blocks * blocks)).select("qid", "id", "dist")), k).select("qid", "rank", "id", "dist")
+
+
+def all_pairs(rows: DataFrame, k: int, blocks: int) -> DataFrame:
+    """(qid, id, dist): for each row (id, vec, _reach) up to ``k`` other rows of each block that lie within its _reach.
+
+    A row goes once to each block: its pairs with that block's rows are worked out in one task, for both sides.
+    """
+    own = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
+    dealt = rows.withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    pair = F.least("_own", "_other") * blocks + F.greatest("_own", "_other")
+    sides = dealt.select(pair.alias("pair"), (F.col("_own") <= F.col("_other")).alias("first"), "id", "vec", "_reach")
+    schema = pa.schema([("qid", pa.int64()), ("id", pa.int64()), ("dist", pa.float64())])
+
+    def run(key: tuple, t: pa.Table) -> pa.Table:
+        x, y = divmod(key[0].as_py(), blocks)
+        first = t.column("first")
+        sides = [t.filter(first).combine_chunks()] * 2 if x == y else [t.filter(first).combine_chunks(), t.filter(pc.invert(first)).combine_chunks()]
+        if not all(s.num_rows for s in sides):
+            return schema.empty_table()
+        ids, vecs, limits = ([f(s) for s in sides] for f in (lambda s: s.column("id").to_numpy(), lambda s: matrix(s.column("vec")), lambda s: s.column("_reach").to_numpy(zero_copy_only=False).astype(float)))
+        return pa.table(list(both_ways(ids, vecs, limits, k, x == y)), schema=schema)
+
+    ship(rows.sparkSession)
+    return sides.repartition(min(PAIR_TASKS, 2 * blocks * (blocks + 1)), "pair").groupBy("pair").applyInArrow(run, "qid long, id long, dist double")
 
 
 def knn_filtered(base: DataFrame, queries: DataFrame, k: int, keep: DataFrame | None = None, drop: DataFrame | None = None, metric: str = "l2") -> DataFrame:

@@ -67,3 +67,33 @@ def test_copies_are_reached_within_the_degree():
     shard = graphs.build_shard(np.arange(300, dtype=np.int64), vecs, 8, 16)
     assert len(shard.closure(shard.entries)) == 300
     assert max(map(len, shard.nbrs)) <= 8 and all(i not in x and len(set(x.tolist())) == len(x) for i, x in enumerate(shard.nbrs))
+
+
+def test_all_pairs_are_compared_once(spark, monkeypatch):
+    monkeypatch.setattr(knn, "LEAST_ROWS", 30)
+    x = np.random.default_rng(6).normal(size=(200, 24))
+    x[20:40] = x[3]
+    rows = spark.createDataFrame([(7 * i, v.tolist()) for i, v in enumerate(x)], "id long, vec array<double>")
+    found = knn.knn_all(rows, 5)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInArrow" in plan and "CoGroup" not in plan  # not each row to every cell and back
+    d = ((x[:, None] - x[None]) ** 2).sum(2)
+    np.fill_diagonal(d, np.inf)
+    want = {(7 * q, r + 1, 7 * int(i)) for q in range(200) for r, i in enumerate(np.lexsort((np.arange(200), d[q]))[:5])}
+    assert {(r.qid, r.rank, r.id) for r in found.collect()} == want
+
+
+def test_pairs_are_settled_for_both_sides():
+    rng = np.random.default_rng(7)
+    for scale, shift in ((1.0, 0.0), (1.0, 1e4), (1e-22, 0.0), (1e19, 0.0)):
+        x = (np.round(rng.normal(size=(900, 16)), 1) + shift) * scale
+        x[100:200] = x[7]
+        ids = rng.permutation(900).astype(np.int64)
+        d = ((x[:, None] - x[None]) ** 2).sum(2)
+        np.fill_diagonal(d, np.inf)
+        limits = np.sort(d[:, :300], 1)[:, 4]
+        limits[5] = np.nan
+        a, b = slice(0, 400), slice(400, 900)
+        found = [knn.both_ways((ids[s], ids[t]), (x[s], x[t]), (limits[s], limits[t]), 5, s == t) for s, t in ((a, b), (a, a), (b, b))]
+        q, i, _ = knn.first_k(found, 5)
+        assert i.reshape(-1, 5).tolist() == [ids[np.lexsort((ids, d[r]))[:5]].tolist() for r in np.argsort(ids)]
