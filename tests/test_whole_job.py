@@ -97,3 +97,16 @@ def test_pairs_are_settled_for_both_sides():
         found = [knn.both_ways((ids[s], ids[t]), (x[s], x[t]), (limits[s], limits[t]), 5, s == t) for s, t in ((a, b), (a, a), (b, b))]
         q, i, _ = knn.first_k(found, 5)
         assert i.reshape(-1, 5).tolist() == [ids[np.lexsort((ids, d[r]))[:5]].tolist() for r in np.argsort(ids)]
+
+
+def test_many_copies_of_each_vector_are_no_hindrance(spark):
+    vecs = np.random.default_rng(8).normal(size=(60, 32))
+    rows = [(0, i, vecs[i % 60].tolist()) for i in range(60 * 40)]
+    built = graphs.build_graph(spark.createDataFrame(rows, "shard long, id long, vec array<float>"), 8, 16).cache()
+    assert built.filter("size(nbrs) > 8 OR array_contains(nbrs, id)").isEmpty()
+    assert graphs.reached(built).filter("NOT reached").isEmpty()
+    asked = spark.createDataFrame([(i, vecs[i].tolist()) for i in range(60)], "qid long, qvec array<float>")
+    gone = spark.createDataFrame([(i,) for i in range(60 * 3)], "id long")
+    for mode in ("batch", "beam", "fast"):
+        found = graphs.search_graph(built, asked, 10, 16, 4, mode, deleted=gone).collect()
+        assert sorted((r.qid, r.rank, r.id) for r in found) == [(q, j + 1, q + 60 * (3 + j)) for q in range(60) for j in range(10)]
