@@ -3,6 +3,7 @@
 import numpy as np
 
 from nearfield.operators import graphs, knn, mutations
+from nearfield.plans import catalog
 
 
 def test_new_copies_near_a_hub_are_found(spark):
@@ -110,3 +111,21 @@ def test_many_copies_of_each_vector_are_no_hindrance(spark):
     for mode in ("batch", "beam", "fast"):
         found = graphs.search_graph(built, asked, 10, 16, 4, mode, deleted=gone).collect()
         assert sorted((r.qid, r.rank, r.id) for r in found) == [(q, j + 1, q + 60 * (3 + j)) for q in range(60) for j in range(10)]
+
+
+def test_new_points_are_searched_for_in_the_nearest_shards(spark, sf_dir, monkeypatch):
+    seen = []
+    real = graphs.search_graph
+
+    def spied(*args, **how):
+        seen.append(how.get("centers"))
+        return real(*args, **how)
+
+    monkeypatch.setattr(mutations, "search_graph", spied)
+    assert all(r.reached for r in catalog.queries()["insert_points"](spark, sf_dir).collect())
+    assert len(seen) == 2 and all(c is not None for c in seen)
+
+
+def test_shards_are_built_in_tasks_of_their_own(spark):
+    rows = spark.createDataFrame([(s, 10 * s + i, [float(i)]) for s in range(4) for i in range(5)], "shard long, id long, vec array<float>")
+    assert "REPARTITION_BY_NUM" in graphs.build_graph(rows, 4, 8)._jdf.queryExecution().executedPlan().toString()
